@@ -32,7 +32,7 @@ from silvagrid.llm.common import mix64, saved, table
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 64
 #: Documents of a source are dealt to buckets of about so many.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 1_000
 SHARD_SLOTS = 1 << 16
 MOST_SHARDS = 4096
 ROUNDS = 4
@@ -210,7 +210,8 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float
     held = places.where("size > 0").select(
         "source_no", "doc_id", "row_key", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block")
     )
-    both = held.join(slots, ["source_no", "block"])
+    # both sides grow with the input, and the planner can't know the size of what Python makes: no broadcast
+    both = held.hint("merge").join(slots.hint("merge"), ["source_no", "block"])
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block, F.col("block") * block + F.coalesce(F.col("words"), F.lit(block)))
     begin = F.greatest(F.col("start"), F.col("block") * block)
     pieces = both.where(end > begin).select("shard", "slot", "epoch", "source_no", "block", "doc_id", "row_key", (begin - F.col("start")).alias("from_word"), (end - F.col("start")).alias("to_word"))

@@ -240,18 +240,24 @@ def _lists(codec: Codec, texts: list[str]) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))]
 
 
-def _digests(codec: Codec, texts: list[str]) -> list[pa.Array]:
+def _digests_and_ids(codec: Codec, texts: list[str]) -> list[pa.Array]:
+    return _digests(codec, texts, True)
+
+
+def _digests(codec: Codec, texts: list[str], with_ids: bool = False) -> list[pa.Array]:
     ids, offs = codec.encode_all(texts)
     little, (back, at) = memoryview(ids.astype("<u4").tobytes()), codec.decode_all(ids)
     back, cuts, ends = memoryview(back), offs.tolist(), at[offs].tolist()
     ids_sha = [hashlib.sha256(little[4 * a : 4 * b]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     back_sha = [hashlib.sha256(back[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return [pa.array(np.diff(offs), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())]
+    more = [pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))] if with_ids else []
+    return [pa.array(np.diff(offs), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string()), *more]
 
 
-def encoded_digests(docs: DataFrame, path: str, pattern: str, text: Column | str = "text", keep: list[str] | None = None) -> DataFrame:
-    """As encode_texts(), with n_tokens and the digests of the ids and of the bytes they decode to."""
-    return _mapped(docs, path, pattern, text, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
+def encoded_digests(docs: DataFrame, path: str, pattern: str, text: Column | str = "text", keep: list[str] | None = None, ids: bool = False) -> DataFrame:
+    """n_tokens and the digests of the ids and of the bytes they decode to; ``ids``: with the ids themselves."""
+    made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
+    return _mapped(docs, path, pattern, text, keep, made, _digests_and_ids if ids else _digests)
 
 
 def _mapped(docs: DataFrame, path: str, pattern: str, text: Column | str, keep: list[str] | None, made: str, make) -> DataFrame:

@@ -222,7 +222,7 @@ def links_of(vectors: DataFrame, dims: int, least: float = 0.9, probes: int = PR
         some = count > 0
         return pd.concat([edges, pd.DataFrame({"u": idq[some], "v": idq[some], "n": count[some]})]).astype("int64")
 
-    schema = made.drop("core").schema.add("e", "int").add("q", "int")
+    schema = "part string, list int, entry boolean, vec_id long, x binary, code binary, left double, e int, q int"
     found = saved(made.mapInPandas(dealt, schema).groupBy("part", "list", "e", "q").applyInPandas(block, "u long, v long, n long"))
     counts = core_counts.union(found.where("n > 0").select(F.col("u").alias("vec_id"), F.col("n").alias("n_links")))
     edges = core_edges.union(found.where("n = 0").select("u", "v")).where("u <> v")

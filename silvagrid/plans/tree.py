@@ -155,7 +155,8 @@ def from_native(nodes: DataFrame, owners: DataFrame, levels: int, order: str = "
     for _ in range(levels):
         level = base.where("node_id <> parent_id").join(level.select("tree_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_up")), ["tree_id", "parent_id"]).select("tree_id", "node_id", F.array_append("_up", F.col("node_id")).alias("path"))
         found = found.union(level)
-    n = base.join(found, ["tree_id", "node_id"])
+    # kept: what is built on it would else repeat these joins, in the plan and in the work
+    n = base.join(found, ["tree_id", "node_id"]).cache()
     kids = Window.partitionBy("tree_id", "parent_id", F.col("node_id") == F.col("parent_id")).orderBy("node_id")
     n = n.withColumn("depth", (F.size("path") - 1).cast("long")).withColumn("sibling", (F.row_number().over(kids) - 1).cast("long"))
     # children are in rising node_id, so pre-order is the order of paths, and post-order that of paths with an end mark
@@ -165,6 +166,7 @@ def from_native(nodes: DataFrame, owners: DataFrame, levels: int, order: str = "
     n = n.join(sizes, ["tree_id", "node_id"])
     n = n.withColumn("entry", 2 * F.col("pre") - F.col("depth")).withColumn("exit", F.col("entry") + 2 * F.col("size") - 1).withColumn("post", F.col("pre") + F.col("size") - 1 - F.col("depth"))
     n = n.withColumn("bfs", (F.row_number().over(order_by.orderBy("depth", "path")) - 1).cast("long"))
+    n = n.cache()
     p = owners
     for c, t in (("row", "int"), ("col", "int"), ("value", "double")):
         if c not in p.columns:

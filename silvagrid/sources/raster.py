@@ -15,7 +15,10 @@ def rasterised(df: DataFrame, row: Column, col: Column, value: Column, rows: int
     image = F.lit("0") if image_id is None else image_id.cast("string")
     cells = df.groupBy(image.alias("image_id"), row.cast("int").alias("row"), col.cast("int").alias("col")).agg(value.alias("value"))
     ids = df.select(image.alias("image_id")).distinct()
-    grid = ids.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(rows * cols - 1))).alias("pixel")).select("image_id", F.col("pixel").cast("long").alias("pixel"), F.floor(F.col("pixel") / cols).cast("int").alias("row"), (F.col("pixel") % cols).cast("int").alias("col"))
+    # a cell's place comes out of the generator: were row and col computed from pixel here, the optimiser would
+    # carry these expressions through the join's constraints without end
+    cell = F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda p: F.struct(p.cast("long").alias("pixel"), F.floor(p / cols).cast("int").alias("row"), (p % cols).cast("int").alias("col")))
+    grid = ids.select("image_id", F.explode(cell).alias("cell")).select("image_id", "cell.pixel", "cell.row", "cell.col")
     return grid.join(cells, ["image_id", "row", "col"], "left").select("image_id", "pixel", "row", "col", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 
 

@@ -6,8 +6,8 @@ needs, the closer it is to the language. Phrase counts are normalised by what a
 of the sample's length, so samples of different length compare. The language with the least cost wins.
 
 The parse is a walk: follow the automaton while it can, else count a phrase and begin again at the root with
-the same character. "Can't follow" is folded into one table (the root's own step, marked), so one step is one
-lookup, and numpy takes the steps of thousands of windows and of all languages at once. Texts are parsed in
+the same character. "Can't follow" is folded into one table (the root's own step, with a count), so one step is
+one lookup, and numpy takes the steps of thousands of windows and of all languages at once. Texts are parsed in
 windows of WINDOW characters so that long texts become many lanes; every character of a text is parsed.
 
 Sampling bound: ``sample_chars`` characters a language at most (fewer if the languages' tables would exceed
@@ -64,8 +64,9 @@ def normalised(text: str) -> str:
 
 
 def automaton(text: str, classes: dict[str, int]) -> np.ndarray:
-    """The step table of the suffix automaton: next state * 2 + 1 where a phrase ends, by [state, class].
-    Class 0 is any character that is in no sample."""
+    """The step table of the suffix automaton, by [state, class]: next state * 4 + the phrases that end. One ends
+    where the walk begins again; a character that the sample lacks ends a phrase of its own as well. Class 0 is
+    any character that is in no sample."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for ch in text:
@@ -93,13 +94,14 @@ def automaton(text: str, classes: dict[str, int]) -> np.ndarray:
                 link[q] = link[cur] = clone
         last = cur
     wide = max(classes.values(), default=0) + 1
-    again = np.ones(wide, np.int32)  # at the root with an unknown character: a phrase, and the root again
+    again = np.full(wide, 2, np.int32)
     for c, s in nxt[0].items():
-        again[c] = 2 * s + 1
+        again[c] = 4 * s + 1
     out = np.tile(again, (len(nxt), 1))
+    out[0] = 1  # at the root no phrase is open
     for s, step in enumerate(nxt):
         for c, to in step.items():
-            out[s, c] = 2 * to
+            out[s, c] = 4 * to
     return out
 
 
@@ -116,8 +118,8 @@ class Model:
         self.wide = len(letters) + 1
         tables = [automaton(samples[k], classes) for k in self.langs]
         starts = np.cumsum([0] + [len(t) for t in tables])
-        # an entry holds the place of the next state's row in the joint table, and the mark
-        self.table = np.concatenate([(((t >> 1) + a) * self.wide) * 2 + (t & 1) for t, a in zip(tables, starts.tolist(), strict=False)]).reshape(-1).astype(np.int32) if tables else np.zeros(0, np.int32)
+        # an entry holds the place of the next state's row in the joint table, and the phrases
+        self.table = np.concatenate([(((t >> 2) + a) * self.wide) * 4 + (t & 3) for t, a in zip(tables, starts.tolist(), strict=False)]).reshape(-1).astype(np.int32) if tables else np.zeros(0, np.int32)
         self.roots = (starts[:-1] * self.wide).astype(np.int32)
         self.cost = np.array([np.log2(max(2, len(samples[k]))) for k in self.langs])
 
@@ -143,13 +145,13 @@ class Model:
             at = state[:, :live]
             at += cls[begin[:live] + t]
             step = self.table.take(at)
-            count[:, :live] += step & 1
-            np.right_shift(step, 1, out=at)
+            count[:, :live] += step & 3
+            np.right_shift(step, 2, out=at)
+        count += state != self.roots[:, None]  # a window's end ends the open phrase
         out = np.zeros((n_texts, len(self.langs)))
         for j in range(len(self.langs)):
             out[:, j] = np.bincount(owner, count[j], n_texts)
-        # each window ends a phrase
-        return out + np.bincount(owner, minlength=n_texts)[:, None]
+        return out
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         codes, size = folded(texts)

@@ -191,29 +191,23 @@ def tree_of_shapes(image: np.ndarray, immersion: str = "selfdual", exterior: boo
     "min8max4"."""
     rows, cols = image.shape
     img = image.astype(np.int64)
-    doubled = immersion == "selfdual"
-    level = 2 * img if doubled else img
-    edge = np.concatenate([level[0], level[-1], level[1:-1, 0], level[1:-1, -1]]) if rows > 1 else level[0]
-    s = np.sort(edge)
-    middle = int(s[len(s) // 2]) if len(s) % 2 else int((s[len(s) // 2 - 1] + s[len(s) // 2]) // 2)
-    padded = np.pad(level, 1, constant_values=middle)
-    low, high, links = _immersed(padded, immersion)
+    level = 2 * img if immersion == "selfdual" else img
+    low, high, links = _immersed(level, immersion)
+    shift = 1 if exterior else 0
     if not exterior:
-        low, high = low[2:-2, 2:-2], high[2:-2, 2:-2]
-        links = {(r - 2, c - 2): [(a - 2, b - 2) for a, b in v] for (r, c), v in links.items()}
-        shift = 0
-    else:
         low, high = low[1:-1, 1:-1], high[1:-1, 1:-1]
-        links = {(r - 1, c - 1): [(a - 1, b - 1) for a, b in v] for (r, c), v in links.items()}
-        shift = 1
+        links = [((a - 1, b - 1), (c - 1, d - 1)) for (a, b), (c, d) in links]
     big_r, big_c = low.shape
     n = big_r * big_c
     lo, hi = low.reshape(-1).tolist(), high.reshape(-1).tolist()
-    four = [(-1, 0), (0, -1), (0, 1), (1, 0)]
-    near = _neighbour_lists(big_r, big_c, four)
-    for (r, c), more in links.items():
-        if 0 <= r < big_r and 0 <= c < big_c:
-            near[r * big_c + c] = near[r * big_c + c] + [a * big_c + b for a, b in more if 0 <= a < big_r and 0 <= b < big_c]
+    near = _neighbour_lists(big_r, big_c, [(-1, 0), (0, -1), (1, 0), (0, 1)])
+    diagonal: dict[int, set[int]] = {}
+    for (a, b), (c, d) in links:
+        p, q = a * big_c + b, c * big_c + d
+        diagonal.setdefault(p, set()).add(q)
+        diagonal.setdefault(q, set()).add(p)
+    for p, more in diagonal.items():  # down left, up right, down right, up left
+        near[p] += [q for q in (p + big_c - 1, p - big_c + 1, p + big_c + 1, p - big_c - 1) if q in more]
     # the flood: nearest level first, the lower one on a tie, first in first out within a level
     queue: dict[int, deque] = {}
     below, above = [], []  # heaps of levels at or below, and above, the current one
@@ -265,8 +259,11 @@ def tree_of_shapes(image: np.ndarray, immersion: str = "selfdual", exterior: boo
     return _contracted(full, full.owner[source])
 
 
-def _immersed(padded: np.ndarray, immersion: str):
-    """Interval [low, high] of each cell of the grid of double size, and diagonal links at saddles."""
+def _immersed(level: np.ndarray, immersion: str):
+    """Interval [low, high] of each cell of the (2n + 1) grid, pixels at odd places, and pairs of cells that
+    touch at a saddle's corner. The ring outside repeats the border's intervals; for "selfdual" all of it has the
+    border pixels' median level."""
+    padded = np.pad(level, 1, mode="edge")
     r, c = padded.shape
     low, high = np.zeros((2 * r - 1, 2 * c - 1), np.int64), np.zeros((2 * r - 1, 2 * c - 1), np.int64)
     low[::2, ::2] = high[::2, ::2] = padded
@@ -275,16 +272,27 @@ def _immersed(padded: np.ndarray, immersion: str):
     tl, tr, bl, br = padded[:-1, :-1], padded[:-1, 1:], padded[1:, :-1], padded[1:, 1:]
     low[1::2, 1::2] = np.minimum(np.minimum(tl, tr), np.minimum(bl, br))
     high[1::2, 1::2] = np.maximum(np.maximum(tl, tr), np.maximum(bl, br))
-    links: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    if immersion != "selfdual":
+    links: list[tuple[tuple[int, int], tuple[int, int]]] = []
+    if immersion == "selfdual":
+        frame = np.zeros(level.shape, bool)
+        frame[0], frame[-1], frame[:, 0], frame[:, -1] = True, True, True, True
+        s = np.sort(level[frame])
+        middle = (int(s[(len(s) - 1) // 2]) + int(s[len(s) // 2])) // 2
+        for x in (low, high):
+            x[1], x[-2], x[:, 1], x[:, -2] = middle, middle, middle, middle
+    else:
         for i, j in np.argwhere((np.minimum(tl, br) > np.maximum(tr, bl)) | (np.maximum(tl, br) < np.minimum(tr, bl))).tolist():
             falling = min(tl[i, j], br[i, j]) > max(tr[i, j], bl[i, j])  # the high diagonal falls from left to right
             if immersion == "min8max4":
                 falling = not falling
-            a, b = ((2 * i, 2 * j), (2 * i + 2, 2 * j + 2)) if falling else ((2 * i, 2 * j + 2), (2 * i + 2, 2 * j))
-            links.setdefault(a, []).append(b)
-            links.setdefault(b, []).append(a)
-    return low, high, links
+            y, x = 2 * i, 2 * j  # the saddle's cell, once the outermost cells are cut off
+            pair = (tl[i, j], br[i, j]) if falling else (tr[i, j], bl[i, j])
+            low[y + 1, x + 1], high[y + 1, x + 1] = min(pair), max(pair)
+            if falling:
+                links += [((y - 1, x - 1), (y, x)), ((y, x), (y + 1, x + 1)), ((y, x - 1), (y + 1, x)), ((y - 1, x), (y, x + 1))]
+            else:
+                links += [((y - 1, x + 1), (y, x)), ((y, x), (y + 1, x - 1)), ((y, x - 1), (y - 1, x)), ((y + 1, x), (y, x + 1))]
+    return low[1:-1, 1:-1], high[1:-1, 1:-1], links
 
 
 def _contracted(full: Hierarchy, owner: np.ndarray) -> Hierarchy:

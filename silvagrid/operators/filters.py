@@ -155,9 +155,11 @@ def ultimate_opening(tree: Tree, attribute: DataFrame, column: str, most: float,
         # the choice travels as the sign of zero's complement: v or -1 - v
         attribute, column = packed.select(*KEYS, F.when(F.col("s"), F.col("v")).otherwise(-1 - F.col("v")).alias("v")), "v"
 
+    signed = chosen is not None
+
     def run(h, a, top, nodes):
         sel = None
-        if chosen is not None:
+        if signed:
             sel = a >= 0
             a = pd.Series(a).where(sel, -1 - a).to_numpy()
         c, r = K.ultimate_opening(h, a, most, sel, top)

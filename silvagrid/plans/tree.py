@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from silvagrid.kernels import trees as K
+from silvagrid.sources.shared import saved
 
 NODE_COLUMNS = ("depth", "sibling", "pre", "size", "entry", "exit", "post", "bfs")
 _MADE = "tree_id string, tag string, id long, ref long, altitude double, value double, row int, col int, " + ", ".join(f"{c} long" for c in NODE_COLUMNS) + ", path array<long>"
@@ -101,7 +102,7 @@ def _rows(tree_id: str, h: K.Hierarchy, cols: int, values: np.ndarray) -> pd.Dat
 
 
 def _from_kernel(made: DataFrame, **about) -> Tree:
-    made = made.cache()  # both halves come from one run of the kernel
+    made = saved(made)  # both halves come from one run of the kernel
     nodes = made.where("tag = 'n'").select("tree_id", F.col("id").alias("node_id"), F.col("ref").alias("parent_id"), "altitude", *NODE_COLUMNS, "path")
     owners = made.where("tag = 'p'").select("tree_id", F.col("id").alias("pixel"), "row", "col", "value", F.col("ref").alias("node_id"))
     return Tree(nodes, owners, **about)
@@ -155,8 +156,8 @@ def from_native(nodes: DataFrame, owners: DataFrame, levels: int, order: str = "
     for _ in range(levels):
         level = base.where("node_id <> parent_id").join(level.select("tree_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_up")), ["tree_id", "parent_id"]).select("tree_id", "node_id", F.array_append("_up", F.col("node_id")).alias("path"))
         found = found.union(level)
-    # kept: what is built on it would else repeat these joins, in the plan and in the work
-    n = base.join(found, ["tree_id", "node_id"]).cache()
+    # written: what is built on it would else repeat these joins, in the plan and in the work
+    n = saved(base.join(found, ["tree_id", "node_id"]))
     kids = Window.partitionBy("tree_id", "parent_id", F.col("node_id") == F.col("parent_id")).orderBy("node_id")
     n = n.withColumn("depth", (F.size("path") - 1).cast("long")).withColumn("sibling", (F.row_number().over(kids) - 1).cast("long"))
     # children are in rising node_id, so pre-order is the order of paths, and post-order that of paths with an end mark
@@ -166,8 +167,8 @@ def from_native(nodes: DataFrame, owners: DataFrame, levels: int, order: str = "
     n = n.join(sizes, ["tree_id", "node_id"])
     n = n.withColumn("entry", 2 * F.col("pre") - F.col("depth")).withColumn("exit", F.col("entry") + 2 * F.col("size") - 1).withColumn("post", F.col("pre") + F.col("size") - 1 - F.col("depth"))
     n = n.withColumn("bfs", (F.row_number().over(order_by.orderBy("depth", "path")) - 1).cast("long"))
-    n = n.cache()
-    p = owners
+    n = saved(n)
+    p = saved(owners)
     for c, t in (("row", "int"), ("col", "int"), ("value", "double")):
         if c not in p.columns:
             p = p.withColumn(c, F.lit(None).cast(t))

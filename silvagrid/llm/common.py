@@ -3,7 +3,6 @@ shared folder, and connected components over links that are never collected."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silvagrid.sources.shared import dropped, saved, shared_dir  # noqa: F401
+
 #: Kernels work on slices of an Arrow batch that hold about so many bytes of text.
 SLICE_BYTES = 4 << 20
 #: A side of a join is broadcast only if it has at most so many rows.
@@ -22,46 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    import tempfile
-
-    made = tempfile.mkdtemp(prefix="silvagrid-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def _path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def saved(df: DataFrame, *by: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: this cuts the lineage, survives lost
-    executors, and is removed when the session ends (or by dropped())."""
-    spark = df.sparkSession
-    to = f"{shared_dir(spark)}/silvagrid-{uuid.uuid4().hex}"
-    p, fs = _path(spark, to)
-    df.write.option("compression", "zstd").parquet(to)
-    fs.deleteOnExit(p)
-    out = spark.read.schema(df.schema).parquet(to)
-    out._silvagrid_path = to
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Remove a table of saved() that nothing will read any more."""
-    if to := getattr(df, "_silvagrid_path", None):
-        p, fs = _path(df.sparkSession, to)
-        fs.delete(p, True)
-
-
 def joined_small(left: DataFrame, right: DataFrame, on: list[str] | str, how: str, rows: int) -> DataFrame:
     """Join; the right side, of so many counted rows, is broadcast only within BROADCAST_ROWS. Beyond that
     both sides are shuffled (adaptive execution splits what is skewed)."""

@@ -165,11 +165,10 @@ class _Join:
     def links(self) -> DataFrame:
         spark = self.sketches.sparkSession
         depth = 0
-        lists = self._posted()
+        lists = saved(self._posted())
         links = None
         while True:
             depth += 1
-            lists = saved(lists)
             if lists.isEmpty():
                 break
             links = self._with(links, self._stars(lists))
@@ -185,8 +184,9 @@ class _Join:
             longer = per.where("NOT direct").select("pair")
             if longer.isEmpty():
                 break
-            lists = self._split(placed.join(longer, "pair"), depth)
-            dropped(per)
+            before, lists = lists, saved(self._split(placed.join(longer, "pair"), depth))
+            for done in (before, placed, per):  # read for the last time just now
+                dropped(done)
         return links if links is not None else spark.createDataFrame([], "u long, v long")
 
     def _with(self, links: DataFrame | None, pairs: DataFrame) -> DataFrame:

@@ -294,8 +294,9 @@ def test_mixed_documents_hold_what_was_counted(docs):
     assert all(n[i] == r.taken for i, r in counts.items())
 
 
-@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
-def test_near_dedup(docs, width, percent):
+@pytest.mark.parametrize("width,percent,linear", [(3, 85, minhash.LINEAR), (5, 80, minhash.LINEAR), (3, 85, 0)])
+def test_near_dedup(docs, width, percent, linear, monkeypatch):
+    monkeypatch.setattr(minhash, "LINEAR", linear)  # at 0, every list is split as deep as it goes
     sets = {}
     for i, t in texts().items():
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m.group().lower(), t))

@@ -164,66 +164,64 @@ class _Join:
 
     def links(self) -> DataFrame:
         spark = self.sketches.sparkSession
-        depth = 0
-        lists = saved(self._posted())
-        links = None
+        depth, links = 0, None
+        placed = saved(self._posted())
         while True:
             depth += 1
-            if lists.isEmpty():
-                break
-            links = self._with(links, self._stars(lists))
-            of = components(links)
-            placed = saved(lists.join(of.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("pair", "doc_id", "place", F.coalesce("component", "doc_id").alias("component")))
-            dropped(of)
+            more = self._confirm(self._stars(placed))
+            if more is not None:
+                links = more if links is None else links.union(more)
+                of = components(links).withColumnsRenamed({"id": "doc_id", "component": "now"})
+                before, placed = placed, saved(placed.join(of, "doc_id", "left").select("pair", "doc_id", "place", F.coalesce("now", "component").alias("component")))
+                dropped(before)
             per = placed.groupBy("pair", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("pair").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("parts")).where("parts > 1 AND m > 2")
             cross = (F.col("m") * F.col("m") - F.col("q")) / 2
             per = saved(per.withColumn("direct", (cross <= LINEAR * F.col("m")) if depth < DEEPEST else F.lit(True)))
-            if per.isEmpty():
-                break
-            links = self._with(links, self._across(placed, per.where("direct")))
+            more = self._confirm(self._across(placed, per.where("direct")))
+            if more is not None:
+                links = more if links is None else links.union(more)
             longer = per.where("NOT direct").select("pair")
             if longer.isEmpty():
                 break
-            before, lists = lists, saved(self._split(placed.join(longer, "pair"), depth))
-            for done in (before, placed, per):  # read for the last time just now
-                dropped(done)
-        return links if links is not None else spark.createDataFrame([], "u long, v long")
-
-    def _with(self, links: DataFrame | None, pairs: DataFrame) -> DataFrame:
-        more = self._confirm(pairs)
-        out = saved(more if links is None else links.union(more).distinct())
-        if links is not None:
-            dropped(links)
-        return out
+            before, placed = placed, saved(self._split(placed.join(longer, "pair"), depth))
+            dropped(before)
+            dropped(per)
+        return links.distinct() if links is not None else spark.createDataFrame([], "u long, v long")
 
     def _posted(self) -> DataFrame:
         k = F.size("shared")
-        return self.docs.select("doc_id", k.alias("k"), F.posexplode("shared").alias("place", "pair")).where(F.col("place") <= F.col("k") - self.matches).select("pair", "doc_id", "place")
+        return self.docs.select("doc_id", k.alias("k"), F.posexplode("shared").alias("place", "pair")).where(F.col("place") <= F.col("k") - self.matches).select("pair", "doc_id", "place", F.col("doc_id").alias("component"))
 
     def _split(self, members: DataFrame, found: int) -> DataFrame:
         """Lists under one more pair; ``found`` agreements are behind a member's place."""
-        rows = members.select(F.col("pair").alias("old"), "doc_id", F.col("place").alias("was")).join(self.docs.select("doc_id", "shared"), "doc_id")
-        more = rows.select("old", "doc_id", "was", F.size("shared").alias("k"), F.posexplode("shared").alias("place", "next"))
+        rows = members.select(F.col("pair").alias("old"), "doc_id", F.col("place").alias("was"), "component").join(self.docs.select("doc_id", "shared"), "doc_id")
+        more = rows.select("old", "doc_id", "was", "component", F.size("shared").alias("k"), F.posexplode("shared").alias("place", "next"))
         more = more.where((F.col("place") > F.col("was")) & (F.col("place") <= F.col("k") - (self.matches - found)))
-        return more.select(F.xxhash64("old", "next").alias("pair"), "doc_id", "place")
+        return more.select(F.xxhash64("old", "next").alias("pair"), "doc_id", "place", "component")
 
-    def _stars(self, lists: DataFrame) -> DataFrame:
-        centres = lists.groupBy("pair").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1")
-        return lists.join(centres, "pair").where("doc_id <> centre").select(F.col("centre").alias("u"), F.col("doc_id").alias("v")).distinct()
+    def _stars(self, placed: DataFrame) -> DataFrame:
+        """Each list's members against the one with the smallest id, but those of its component."""
+        centres = placed.groupBy("pair").agg(F.min(F.struct("doc_id", "component")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        return placed.join(centres, "pair").where("component <> c.component").select(F.col("c.doc_id").alias("u"), F.col("doc_id").alias("v")).distinct()
 
     def _across(self, placed: DataFrame, per: DataFrame) -> DataFrame:
         rows = saved(placed.join(per.select("pair"), "pair"))
         one, two = rows.select("pair", F.col("doc_id").alias("u"), F.col("component").alias("cu")), rows.select("pair", F.col("doc_id").alias("v"), F.col("component").alias("cv"))
         return one.join(two, "pair").where("u < v AND cu <> cv").select("u", "v").distinct()
 
-    def _confirm(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that agree in enough coordinates, then on the full sets."""
+    def _confirm(self, pairs: DataFrame) -> DataFrame | None:
+        """Pairs that agree in enough coordinates, then on the full sets; None if there are none."""
         side = self.docs.select("doc_id", "n_shingles", "pairs")
         one, two = side.toDF("u", "n", "p"), side.toDF("v", "o", "q")
         near = pairs.join(one, "u").join(two, "v").where(100 * F.least("n", "o") >= self.percent * F.greatest("n", "o")).where(F.size(F.array_intersect("p", "q")) >= self.matches).select("u", "v")
         near = saved(near)
+        if near.isEmpty():
+            dropped(near)
+            return None
         full = near.join(self.hashes.toDF("v", "b"), "v").join(self.hashes.toDF("u", "a"), "u").select("u", "v", "a", "b")
-        return full.mapInArrow(_confirmed(self.percent), "u long, v long").distinct()
+        out = saved(full.mapInArrow(_confirmed(self.percent), "u long, v long"))
+        dropped(near)
+        return None if out.isEmpty() else out
 
 
 def near_duplicates(docs: DataFrame, text: Column | str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80, matches: int | None = None) -> DataFrame:

@@ -146,7 +146,8 @@ def _met(batches):
         out[order] = same & ((doc[order] != doc[lead]) | (start[order] != start[lead]))
         group = np.cumsum(~same_anchor) - 1
         kinds = np.bincount(group, ~same)
-        several = (kinds[group] > 1) & (out[order] == 0) & ~same
+        # kinds of a common anchor lie in many partitions: none of them may be compared within the anchor here
+        several = (kinds[group] > 1) & (state[order] != 3) & (out[order] == 0) & ~same
         out[order[several]] = 2
         often = order[(state[order] == 3) & (out[order] == 0) & ~same]
         out[often] = 3

@@ -111,6 +111,36 @@ def test_substring_dedup(docs):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), sum(mark), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("common", [0.01, 2.0])
+def test_substring_dedup_of_a_passage_with_many_neighbours(spark, monkeypatch, common):
+    """Over 16 partitions, with the passages' anchors in the common list and (above 1) without."""
+    r = random.Random(11)
+    letters = lambda k: "".join(r.choice("abcdefghij ") for _ in range(k))
+    shared = [letters(150) for _ in range(4)]
+    rows = [(i, letters(120) + shared[i % 4] + letters(120)) for i in range(64)]
+    monkeypatch.setattr(substring_dedup, "COMMON", common)
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = table(substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    seen = set()
+    for i, t in rows:
+        raw = t.encode()
+        mark = bytearray(len(raw))
+        for a in range(len(raw) - 99):
+            w = raw[a : a + 100]
+            if w in seen:
+                mark[a : a + 100] = b"\1" * 100
+            seen.add(w)
+        kept = bytes(c for c, m in zip(raw, mark, strict=True) if not m)
+        assert (got[i].n_removed, got[i].kept_sha256) == (sum(mark), hashlib.sha256(kept).hexdigest())
+
+
 def test_html():
     page = "<nav><a href=/>Home</a></nav><div class='ad'>Buy now</div><article><h1>A &amp; B</h1><p>The  river of the\n valley.<br>It is &lt;long&gt;</p><script>x='<p>'</script><p>End</article><div class=comments><p>the first of all</div><footer>(c)</footer>"
     assert html_text.main_text(page) == "A & B\nThe river of the valley. It is <long>\nEnd"

@@ -24,15 +24,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    keep = exact_dedup.exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    """Of equal texts one row stays, one with the largest doc_id (null is the smallest)."""
+    return exact_dedup.one_of_each(docs, COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays (five words, 0.8)."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near copies the row with the smallest doc_id stays (five words, 0.8); null is the smallest."""
+    docs, key = docs.select(*COLUMNS), "doc_id"
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        # doc_id doesn't tell the rows apart: a key in its order does
+        docs, key = saved(docs.orderBy(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id())), "row_key"
+    gone = minhash.near_duplicates(docs, doc_id=key).where("NOT kept").select(F.col("doc_id").alias(key))
+    return docs.join(gone, key, "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

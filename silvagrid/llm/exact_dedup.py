@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from silvagrid.llm.common import saved, slices, table, text_bytes
 
@@ -62,7 +63,7 @@ def _digest(chunk: bytes, size: int) -> bytes:
     return hashlib.blake2b(chunk, digest_size=size).digest()
 
 
-def _recipes(size: int):
+def _recipes(size: int, carried: tuple[str, ...] = ()):
     def run(batches):
         for batch in batches:
             for a, b in slices(batch.column("text")):
@@ -78,7 +79,7 @@ def _recipes(size: int):
                         at = c
                     recipes.append(b"".join(ids))
                     shas.append(hashlib.sha256(whole[start:stop]).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("row_id"), pa.array(recipes, pa.binary()), pa.array(shas, pa.string())], names=["doc_id", "recipe", "text_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column("row_id"), pa.array(recipes, pa.binary()), pa.array(shas, pa.string()), *(part.column(c) for c in carried)], names=["doc_id", "recipe", "text_sha256", *carried])
 
     return run
 
@@ -101,21 +102,25 @@ def _chunks(size: int):
     return run
 
 
-def exact_groups(docs: DataFrame, text: Column | str = "text", doc_id: str = "doc_id", digest_bytes: int = 16) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    text = F.col(text) if isinstance(text, str) else text
-    source = docs.select(F.col(doc_id).alias("row_id"), F.coalesce(text, F.lit("")).alias("text"))
-    kind = source.schema["row_id"].dataType.simpleString()
-    size = digest_bytes
+def _telling(source: DataFrame, size: int) -> int:
+    """The digest size, from ``size`` up, at which no two chunks of source's texts share a digest."""
     while True:
         chunks = source.select("text").mapInArrow(_chunks(size), "digest binary, chunk binary")
         # min and max keep one value per digest and task before anything is shuffled
         clashes = chunks.groupBy("digest").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high")
         if clashes.isEmpty():
-            break
+            return size
         if size >= 64:
             raise RuntimeError("two chunks share a digest of 64 bytes")
         size = min(64, 2 * size)
+
+
+def exact_groups(docs: DataFrame, text: Column | str = "text", doc_id: str = "doc_id", digest_bytes: int = 16) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    text = F.col(text) if isinstance(text, str) else text
+    source = docs.select(F.col(doc_id).alias("row_id"), F.coalesce(text, F.lit("")).alias("text"))
+    kind = source.schema["row_id"].dataType.simpleString()
+    size = _telling(source, digest_bytes)
     recipes = saved(source.mapInArrow(_recipes(size), f"doc_id {kind}, recipe binary, text_sha256 string"))
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     # rows of a few dozen bytes meet their group in a join that adaptive execution can split
@@ -123,6 +128,18 @@ def exact_groups(docs: DataFrame, text: Column | str = "text", doc_id: str = "do
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
 
 
+def one_of_each(docs: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id", digest_bytes: int = 16) -> DataFrame:
+    """The columns ``keep`` of one row per text: of equal texts the row with the largest doc_id, and of several such
+    rows the one that is largest in the other columns."""
+    source = docs.select(F.col(doc_id).alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
+    made = T.StructType([T.StructField("doc_id", source.schema["row_id"].dataType), T.StructField("recipe", T.BinaryType()), T.StructField("text_sha256", T.StringType()), source.schema["row"]])
+    # the key is written with the rows, so it stays the same however often they are read
+    rows = saved(source.mapInArrow(_recipes(_telling(source, digest_bytes), ("row",)), made).select("doc_id", "recipe", "row", F.monotonically_increasing_id().alias("row_key")))
+    place = F.struct("doc_id", *[F.col(f"row.`{c}`").alias(f"c{i}") for i, c in enumerate(keep) if c not in (text, doc_id)], "row_key")
+    last = rows.groupBy("recipe").agg(F.max(place).alias("last")).select("last.row_key")
+    return rows.join(last, "row_key", "left_semi").select("row.*")
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 

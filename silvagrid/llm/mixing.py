@@ -221,8 +221,8 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per row of docs."""
     places, _, pieces = mix(docs, **options)
-    taken = pieces.groupBy("doc_id", "row_key").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    return places.join(taken, ["doc_id", "row_key"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.groupBy(F.col("doc_id").alias("of_doc"), F.col("row_key").alias("of_key")).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    return places.join(taken, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("row_key") == F.col("of_key")), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -230,7 +230,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     Stretches that touch keep the text between them as it is; others are joined by a line end."""
     _, _, pieces = mix(docs, **options)
     spans = pieces.groupBy("doc_id", "row_key", "epoch").agg(F.sort_array(F.collect_list(F.struct(F.col("from_word").cast("int").alias("a"), F.col("to_word").cast("int").alias("b")))).alias("spans"))
-    kept = docs.withColumn("row_key", F.xxhash64("text")).join(spans, ["doc_id", "row_key"])
+    keyed, spans = docs.withColumn("row_key", F.xxhash64("text")), spans.withColumnsRenamed({"doc_id": "of_doc", "row_key": "of_key"})
+    kept = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("row_key") == F.col("of_key")))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:

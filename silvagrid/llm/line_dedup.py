@@ -5,9 +5,10 @@ among themselves and their one-character deletions. Every line that could have s
 variants as hashed keys, equal keys are joined, the edit distance is verified on the lines themselves, and of
 each linked pair the later line goes.
 
-What goes: a line of MIN_CHARS characters or more that equals a line before it, or is within one edit of one, at
-a smaller doc_id or earlier in the same document; "before" is judged on the input, whether or not that line
-stays. Lines are what stands between line feeds; shorter and empty lines always stay.
+What goes: a line of any length that equals a line before it, at a smaller doc_id or earlier in the same document,
+or a line of MIN_CHARS characters or more that is within one edit of such a line of MIN_CHARS or more; "before" is
+judged on the input, whether or not that line stays. Lines are what stands between line feeds; empty lines always
+stay. Shorter lines are held to equality, as one edit makes another word or number of them.
 
 The work is kept linear in three steps. Equal lines are one *form*, with its first place, by an aggregation that
 combines on the map side. A form emits variants only if it shares its first or last half with another form of
@@ -65,27 +66,23 @@ def within_one(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def _lines(least: int):
+def _lines(batches):
     """The lines of a batch, each form once a document batch, with its first place."""
-
-    def run(batches):
-        for batch in batches:
-            for a, b in slices(batch.column("text")):
-                part = batch.slice(a, b - a)
-                first: dict[str, tuple[int, int]] = {}
-                for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    for i, line in enumerate((t or "").split("\n")):
-                        if len(line) >= least:
-                            at = (d, i)
-                            if line not in first or at < first[line]:
-                                first[line] = at
-                if first:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([hashlib.blake2b(x.encode(), digest_size=16).digest() for x in first], pa.binary()), pa.array(list(first), pa.string()), pa.array([p[0] for p in first.values()], pa.int64()), pa.array([p[1] for p in first.values()], pa.int64())],
-                        names=["form", "line", "doc_id", "place"],
-                    )
-
-    return run
+    for batch in batches:
+        for a, b in slices(batch.column("text")):
+            part = batch.slice(a, b - a)
+            first: dict[str, tuple[int, int]] = {}
+            for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for i, line in enumerate((t or "").split("\n")):
+                    if line:
+                        at = (d, i)
+                        if line not in first or at < first[line]:
+                            first[line] = at
+            if first:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([hashlib.blake2b(x.encode(), digest_size=16).digest() for x in first], pa.binary()), pa.array(list(first), pa.string()), pa.array([p[0] for p in first.values()], pa.int64()), pa.array([p[1] for p in first.values()], pa.int64())],
+                    names=["form", "line", "doc_id", "place"],
+                )
 
 
 def _halves(batches):
@@ -115,10 +112,10 @@ def near_lines(docs: DataFrame, text: Column | str = "text", doc_id: str = "doc_
     """(forms: form, line, doc_id and place of the first; forms that go: form)."""
     text = F.col(text) if isinstance(text, str) else text
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text.alias("text"))
-    seen = source.mapInArrow(_lines(least), "form binary, line string, doc_id long, place long")
+    seen = source.mapInArrow(_lines, "form binary, line string, doc_id long, place long")
     # the digest of 128 bits stands for the line; its text goes along once
     forms = saved(seen.groupBy("form").agg(F.min_by("line", F.struct("doc_id", "place")).alias("line"), F.min(F.struct("doc_id", "place")).alias("at")).select("form", "line", "at.doc_id", "at.place"))
-    halves = forms.select("form", "line").mapInArrow(_halves, "form binary, key long")
+    halves = forms.select("form", "line").where(F.length("line") >= least).mapInArrow(_halves, "form binary, key long")
     shared = halves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     may = halves.join(shared, "key").select("form").distinct()
     some = saved(forms.join(may, "form"))
@@ -163,7 +160,7 @@ def deduplicated(docs: DataFrame, text: Column | str = "text", doc_id: str = "do
                 for t, stay in zip(part.column("text").to_pylist(), part.column("stay").to_pylist(), strict=True):
                     lines = t.split("\n") if t is not None else []
                     own = set(stay or ())
-                    keep = [x for i, x in enumerate(lines) if len(x) < least or i in own]
+                    keep = [x for i, x in enumerate(lines) if not x or i in own]
                     out = "\n".join(keep)
                     n.append(len(lines))
                     removed.append(len(lines) - len(keep))

@@ -282,6 +282,12 @@ def test_line_dedup(docs):
     assert gone and all(got[i].kept_sha256 == hashlib.sha256(w.encode()).hexdigest() for i, w in want.items())
 
 
+def test_equal_short_lines_go(spark):
+    texts = ["yes\n\n一行短句。\nno", "一行短句。\nYes\n\nyes", "noo\nno\nno\n"]
+    got = table(line_dedup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    assert [(got[i].kept_text, got[i].n_removed) for i in range(3)] == [(texts[0], 0), ("Yes\n", 2), ("noo\n", 2)]
+
+
 def test_variants_meet_just_within_one_edit():
     r = random.Random(6)
     for _ in range(400):

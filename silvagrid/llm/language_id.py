@@ -11,8 +11,8 @@ one lookup, and numpy takes the steps of thousands of windows and of all languag
 windows of WINDOW characters so that long texts become many lanes; every character of a text is parsed.
 
 Sampling bound: ``sample_chars`` characters a language at most (fewer if the languages' tables would exceed
-``table_bytes`` together), from the labelled rows in the order of a hash of their text. Prediction sees all
-rows and whole texts.
+``table_bytes`` together), in pieces at hashed places of the distinct labelled texts, in the order of a hash of the
+text, until that many characters are there or all texts are. Prediction sees all rows and whole texts.
 
 Cases: a null text, or one without letters, is ``und`` with score 0. Ties go to the alphabetically first
 language. Without any labelled row everything is ``und``. Labels that are null are not learned. Characters
@@ -179,28 +179,58 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, table_bytes: int
     return Model(_sampled(rows, langs, each, max(200, each // 40)))
 
 
+def _letters(batches):
+    """lang, hash and the number of characters of each normalised text, once a batch; texts without letters go."""
+    for batch in batches:
+        for a, b in slices(batch.column("text"), 2 << 20):
+            part = batch.slice(a, b - a)
+            codes, size = folded(part.column("text").to_pylist())
+            ends = np.cumsum(size)
+            letters = np.concatenate([[0], np.cumsum(codes != 32)])
+            has = letters[ends] > letters[ends - size]
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array(size)], names=["lang", "h", "n"]).filter(pa.array(has))
+
+
+def _pieces(most: dict[str, int]):
+    """Of each text at most so many characters as its language takes, from a place that its hash says."""
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for k, t, at in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "at")), strict=True):
+                t, piece = normalised(t).strip(), most[k]
+                x = at % max(1, len(t) - piece + 1)
+                made.append(t[x : x + piece])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(made, pa.string())], names=["lang", "h", "t"])
+
+    return run
+
+
 def _sampled(rows: DataFrame, langs: list[str], each: int, piece: int) -> dict[str, str]:
-    """The rows of each language with the smallest text hashes, until ``each`` characters. The cut by hash is
-    set from counts, so each task keeps about as many rows as are needed and no more."""
-    need = max(40, -(-each // piece)) * 3
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, need / counts[k]))])
+    """Pieces of each language's distinct texts, those with the smallest hashes, until ``each`` characters. The cut
+    by hash is set from the characters of distinct texts, so each task keeps about as many as are needed; it is
+    raised for a language whose sample comes out short, and then the pieces grow, until it is filled or has all there is."""
     h = F.xxhash64("text")
-    unit = F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30)
-    some = rows.where(unit < share[F.col("lang")]).select("lang", F.substring("text", 1, piece).alias("t"), h.alias("h")).distinct()
-    out = {k: [] for k in langs}
-    for r in sorted(some.collect(), key=lambda r: (r.lang, r.h, r.t)):
-        out[r.lang].append(r.t)
-    made = {}
-    for k, texts in out.items():
-        s, n = [], 0
-        for t in texts:
-            t = normalised(t)
-            s.append(t)
-            n += len(t) + 1
-            if n >= each:
-                break
-        made[k] = " ".join(s)[:each]
+    keyed = rows.select("lang", "text", h.alias("h"), F.xxhash64("text", F.lit(1)).alias("at"))
+    unit = F.pmod(F.col("h"), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    kept = keyed.select("lang", "text", "h").mapInArrow(_letters, "lang string, h long, n long").groupBy("lang", "h").agg(F.max("n").alias("n"))
+    per = kept.groupBy("lang").agg(F.sum(F.least("n", F.lit(piece)) + 1).alias("chars"), F.max("n").alias("longest")).collect()
+    share, longest, most = {r.lang: min(1.0, 3 * each / r.chars) for r in per}, {r.lang: r.longest for r in per}, {r.lang: piece for r in per}
+    made, todo = {}, sorted(share)
+    while todo:
+        cut = F.create_map(*[F.lit(x) for k in todo for x in (k, share[k])])
+        some = keyed.where(F.col("lang").isin(todo)).where(unit < cut[F.col("lang")]).mapInArrow(_pieces({k: most[k] for k in todo}), "lang string, h long, t string").where("t <> ''").distinct()
+        out = {k: [] for k in todo}
+        for r in sorted(some.collect(), key=lambda r: (r.lang, r.h & ((1 << 30) - 1), r.h, r.t)):
+            out[r.lang].append(r.t)
+        for k, texts in out.items():
+            made[k] = " ".join(texts)[:each]
+        todo = [k for k in todo if len(made[k]) < each and (share[k] < 1 or most[k] < min(each, longest[k]))]
+        for k in todo:
+            if share[k] < 1:
+                share[k] = min(1.0, 4 * share[k])
+            else:
+                most[k] = min(each, 4 * most[k])
     return {k: v for k, v in made.items() if v.strip()}
 
 

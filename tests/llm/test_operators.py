@@ -247,6 +247,23 @@ def test_language_accuracy_and_cases(spark):
     assert none.predict(["some text"]) == [("und", 0.0)]
 
 
+def test_language_sample_is_of_distinct_texts_and_filled(spark):
+    r = random.Random(9)
+    make = lambda a, n: " ".join("".join(r.choice(a) for _ in range(5)) for _ in range(n))
+    langs = [f"l{i}" for i in range(12)]  # of each, 2,000 rows of 3 distinct texts
+    rows = [(t, k) for k in langs for t in [make("abcdefgh", 30) for _ in range(3)] * 667]
+    rows += [(make("mnopq", 2), "short") for _ in range(4000)]
+    rows += [("in the beginning of all " * 40 + make("uvwxyz", 200), "late")] * 50 + [("12 34", "none")] * 20
+    model = language_id._sampled(spark.createDataFrame(rows, "text string, lang string"), [*langs, "late", "none", "short"], 8000, 200)
+    assert set(model) == {*langs, "late", "short"}
+    assert all(len(model[k]) >= 500 for k in langs)  # three texts of 179 characters
+    assert len(model["short"]) == 8000
+    whole = language_id._sampled(spark.createDataFrame([("plain words " * 50 + make("uvwxyz", 200), "late") for _ in range(60)], "text string, lang string"), ["late"], 8000, 200)
+    two = language_id._sampled(spark.createDataFrame([(make("abcdefgh", 900), "two") for _ in range(2)], "text string, lang string"), ["two"], 8000, 200)
+    assert len(two["two"]) == 8000  # two texts of 5,399 characters
+    assert sum(c in "uvwxyz" for c in whole["late"]) > 2000
+
+
 def test_embeddings(spark):
     g = np.random.default_rng(4)
     base = g.normal(size=(250, 16))

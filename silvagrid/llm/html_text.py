@@ -6,7 +6,9 @@ role, or by a word of class or id) go at once, as do scripts and styles. The fir
 link density, length and the density of stop words (of five languages): good, bad, or undecided. In the second
 pass undecided blocks take the label of their nearest decided neighbours. Inside ``article`` or ``main`` only
 link density decides against a block, neighbours outside don't count, and where nothing is decided the block is
-kept; elsewhere it is dropped.
+kept; elsewhere it is dropped. On a page without either, a block with decided neighbours on one side only takes
+their label, a long block with few stop words is undecided, and where no block has the stop words of a listed
+language, length and links decide alone.
 
 Cases: null or empty html, or a page without kept blocks, gives the empty text. Unclosed or crossed tags,
 unended comments, tags and character references at the end of a page are read as far as they go. A "<" that
@@ -52,6 +54,7 @@ STOP = frozenset(
     " el los del las una por con para su al lo como más pero sus ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos"
     " di che non il per si da della sono nel alla dei più anche gli ha ma o os as um uma não mais foi ao ele das tem seu sua".split()
 )
+_WIDE = re.compile(r"[\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
 SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 1 / 3, 0.18, 0.28
 
 
@@ -135,23 +138,32 @@ def _hinted(attrs: str) -> bool:
     return False
 
 
+def _dense(text: str) -> float:
+    words = _WORDS.findall(text.lower())
+    return sum(w in STOP for w in words) / max(1, len(words))
+
+
 def main_text(page: str | None) -> str:
     found = blocks_of(page or "")
     labels: list[str] = []
-    for text, linked, body in found:
+    whole = not any(body for _, _, body in found)  # no article or main to go by
+    density = [None if linked > LINKS * len(text) else _dense(text) for text, linked, _ in found]
+    unlisted = whole and not any(d is not None and d >= STOP_LOW and len(text) >= SHORT for d, (text, _, _) in zip(density, found, strict=True))
+    for (text, _, body), dense in zip(found, density, strict=True):
         size = len(text)
-        if linked > LINKS * size:
+        if dense is None:
             labels.append("bad")
             continue
-        words = _WORDS.findall(text.lower())
-        dense = sum(w in STOP for w in words) / max(1, len(words))
-        if size < SHORT:
+        if unlisted:
+            size += len(_WIDE.findall(text))  # an ideograph says as much as two letters or more
+            labels.append("?" if size < SHORT else "good" if size > LONG else "near")
+        elif size < SHORT:
             labels.append("?")
         elif dense >= STOP_HIGH:
             labels.append("good" if size > LONG or body else "near")
         elif dense >= STOP_LOW:
             labels.append("near")
-        elif body:
+        elif body or (whole and size > LONG):
             labels.append("?")
         else:
             labels.append("bad")
@@ -165,6 +177,8 @@ def main_text(page: str | None) -> str:
                 label = "bad" if around == ["bad", "bad"] and label == "?" and linked else "good"
             elif label == "near":
                 label = "good" if "good" in around or around == [None, None] else "bad"
+            elif whole:
+                label = "good" if "good" in around and "bad" not in around else "bad"
             else:
                 label = "good" if around == ["good", "good"] else "bad"
         if label == "good":

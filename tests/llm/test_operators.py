@@ -148,6 +148,18 @@ def test_html():
     html_text.main_text("<p>x" * 30_000), html_text.main_text("<" * 50_000), html_text.main_text("<a " + '"' * 50_001)
 
 
+def test_html_without_article_or_main():
+    words = "the river of the valley is in a land that was for it as with his own "
+    page = f"<div><h1>A headline</h1><p>{words * 5}</p><p>{words * 4}</p><p>The end.</p></div>"
+    assert html_text.main_text(page) == "\n".join(["A headline", (words * 5).strip(), (words * 4).strip(), "The end."])
+    menu = "<div><a href=/>Home page of the site</a> <a href=/b>B</a></div>"
+    assert html_text.main_text(f"{menu}<p>Not this</p>{menu}{page}").split("\n")[0] != "Not this"
+    for text in ("Pitkän joen varrella seisoi vanha talo, jonka ikkunat olivat kiinni. " * 5, "長い川のほとりに古い家があり、その窓は閉じていた。" * 6):
+        assert html_text.main_text(f"{menu}<h1>Talo 家</h1><p>{text}</p><p>{text}</p>{menu}") .split("\n")[-2:] == [text.strip()] * 2
+    table = "x1 y2 kvark zeta " * 20
+    assert table.strip() in html_text.main_text(f"<p>{words * 5}</p><p>{table}</p><p>{words * 5}</p>")
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", None, "t"), (2, None, "<article><p>Hello</p></article>", "t")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extracted(rows).orderBy("page_id").collect()] == [(1, "", 0), (2, "Hello", 5)]

@@ -6,8 +6,8 @@ miss, such as phone numbers without a country code, and secrets (access keys, pa
 runs of characters between white space; its features are a token's shape (letters, capitals, digits and signs,
 runs collapsed), its length, its number of digits, and its neighbours' shapes. It is trained on the driver
 from a small labelled table (at most ``most_rows`` rows, by default the one built in here), by gradient ascent
-on the conditional log-likelihood. Viterbi decodes many sequences at a time in numpy; a sequence is a line, in
-stretches of STRETCH tokens. An added span that overlaps a base span or an added one before it is dropped, and
+on the conditional log-likelihood. Viterbi decodes many sequences at a time in numpy; a sequence is a line, cut
+only behind tokens that are outside on every best path, which changes no result. An added span that overlaps a base span or an added one before it is dropped, and
 one of a kind that has a check (a card number, an address) must pass it.
 
 Cases: a null text counts as empty and has no spans. Repeated rows each give a row; extra columns are ignored;
@@ -29,7 +29,7 @@ from silvagrid.llm.common import slices, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
-STRETCH, SHAPES, LENGTHS, DIGITS = 256, 4096, 48, 24
+SHAPES, LENGTHS, DIGITS = 4096, 48, 24
 
 # The patterns of the contract; those that begin with a run of one class can't begin inside that run, which
 # keeps long runs linear: had a match begun there, it would have begun at the run's start.
@@ -187,15 +187,12 @@ class Tokens:
         self.joined = joined
 
     def sequences(self) -> tuple[np.ndarray, np.ndarray]:
-        """(first token, number of tokens) of each stretch of a line."""
+        """(first token, number of tokens) of each line."""
         n = len(self.start)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        new = np.concatenate([[True], self.line[1:] != self.line[:-1]])
-        first = np.flatnonzero(new)
-        at = np.arange(n) - first[np.cumsum(new) - 1]
-        cut = np.flatnonzero(at % STRETCH == 0)
-        return cut, np.diff(np.append(cut, n))
+        first = np.flatnonzero(np.concatenate([[True], self.line[1:] != self.line[:-1]]))
+        return first, np.diff(np.append(first, n))
 
 
 def _near(column: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,6 +303,15 @@ class Field:
         # steps beside it, is outside as a whole; only the others need the search.
         most, least = float(m.max()), float(m[0, 0])
         lead = e[:, 0] - e[:, 1:].max(1)
+        # Were a token's label changed to "outside", and that of the next from going on to beginning, three steps and
+        # these two scores would change: beyond that lead the token is outside, and what follows begins after it.
+        again = np.append((e[1:, 2::2] - e[1:, 1::2]).max(1), 0)
+        sure = lead > 3 * float(self.step.max() - self.step.min()) + np.maximum(again, 0) + 1e-2
+        starts = np.zeros(len(e) + 1, bool)
+        starts[first] = True
+        starts[1:] |= sure
+        first = np.flatnonzero(starts[:-1])
+        size = np.diff(np.append(first, len(e)))
         plain = np.minimum.reduceat(lead, first) > 2 * (most - least)
         first, size = first[~plain], size[~plain]
         if not len(first):

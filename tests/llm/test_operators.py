@@ -244,6 +244,30 @@ def test_suffix_automaton_parses_into_longest_matches():
         assert int(m.phrases(codes, np.array([len(t)]))[0, 0]) == phrases(t)
 
 
+def test_pii_spans_over_any_place_of_a_long_line():
+    field, r = pii.fitted(), random.Random(4)
+    for at in [*range(250, 262), *range(506, 518)]:
+        words = [r.choice(WORDS) for _ in range(700)]
+        words[at:at] = ["(555)", "123-4567"]
+        text = " ".join(words)
+        a = text.index("(555)")
+        assert pii.spans_of([text], field) == [[("phone", a, a + 14)]], at
+    texts = [" ".join(w for t, _ in pii.labelled_table(40, k) for w in t.split()) for k in range(5)]
+    t = pii.Tokens(texts)
+    e, m, want = field.scores(field.features(t, *t.sequences())), field.step + field.barred, []
+    for first, size in zip(*t.sequences(), strict=True):
+        score, back = e[first] + m[0], []
+        for i in range(first + 1, first + size):
+            both = score[:, None] + m
+            back.append(both.argmax(0))
+            score = both.max(0) + e[i]
+        path = [int(score.argmax())]
+        for b in back[::-1]:
+            path.append(int(b[path[-1]]))
+        want += path[::-1]
+    assert max(t.sequences()[1]) > 256 and field.decode(t).tolist() == want
+
+
 def test_language_accuracy_and_cases(spark):
     r = random.Random(8)
     syllables = {"en": "the th ing on er", "de": "sch ung der ein ch"}

@@ -2,8 +2,8 @@
 
 Fitted on the driver, on SAMPLE vectors at most (those with the least hash of their id): coarse centroids, and
 per subspace a codebook for what a vector has beyond its centroid. Every vector of the table is then an entry
-of the list of its nearest centroid, as a code of SUBSPACES bytes, and a query to the lists of its PROBES nearest
-centroids. A block (a piece of a list's queries against a piece of its entries) is one group of bounded size:
+of the list of its nearest centroid, as a code of SUBSPACES bytes, and a query to the lists of its nearest centroids,
+one in PROBED of all but PROBES at least. A block (a piece of a list's queries against a piece of its entries) is one group of bounded size:
 asymmetric distances come from a table look-up per query and subspace, and since a query has length 1, the true
 cosine is at most the looked-up one plus the entry's quantisation error. Only pairs that this bound lets through
 are computed exactly, so quantisation loses nothing; only the choice of probes could (tests measure the recall).
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from silvagrid.llm.common import components, saved, table
 
-SAMPLE, PROBES, SUBSPACES, CODEWORDS, MOST_LISTS = 8192, 8, 8, 32, 2048
+SAMPLE, PROBES, PROBED, SUBSPACES, CODEWORDS, MOST_LISTS = 8192, 8, 16, 8, 32, 2048
 #: A list for about so many vectors; a centroid of its own for a crowd of so many in the sample.
 LIST_VECTORS, CROWD = 128, 8
 BLOCK_ENTRIES, BLOCK_QUERIES = 2048, 4096
@@ -128,8 +128,9 @@ def _blocks_of(sides: DataFrame) -> dict[tuple[str, int], tuple[int, int]]:
     return {(r.part, r.list): (max(1, math.ceil(r.e / BLOCK_ENTRIES)), max(1, math.ceil(r.q / BLOCK_QUERIES))) for r in counts if r.e and r.q}
 
 
-def links_of(vectors: DataFrame, dims: int, least: float = 0.9, probes: int = PROBES):
-    """(counts: vec_id, n_links, not yet summed; edges: u, v with the same components as all links)."""
+def links_of(vectors: DataFrame, dims: int, least: float = 0.9, probes: int | None = None):
+    """(counts: vec_id, n_links, not yet summed; edges: u, v with the same components as all links). Where ``probes``
+    is not given, it is set from the number of lists."""
     spark = vectors.sparkSession
     usable = vectors.where("x IS NOT NULL AND vec_id IS NOT NULL")
     rows = usable.count()
@@ -144,7 +145,7 @@ def links_of(vectors: DataFrame, dims: int, least: float = 0.9, probes: int = PR
                 continue
             x = _units(f["x"], dims)
             like = x @ ix.centres.T
-            k = min(probes, like.shape[1])
+            k = min(probes or max(PROBES, -(-like.shape[1] // PROBED)), like.shape[1])
             top = np.argpartition(-like, k - 1, axis=1)[:, :k]
             home = like.argmax(1)
             codes, left = ix.codes(x, home)
@@ -241,7 +242,7 @@ def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, probes: int = PROBES) -> DataFrame:
+def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, probes: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row."""
     vectors, dims = _vectors(rows, vec_id, embedding)
     if not dims or vectors.where("x IS NOT NULL AND vec_id IS NOT NULL").isEmpty():

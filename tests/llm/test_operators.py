@@ -300,6 +300,24 @@ def test_language_sample_is_of_distinct_texts_and_filled(spark):
     assert sum(c in "uvwxyz" for c in whole["late"]) > 2000
 
 
+def test_embedding_links_near_the_threshold_over_many_lists(spark, monkeypatch):
+    """500 lists, most vectors not in the sample: nearly all links between 0.9 and 0.91 are found."""
+    monkeypatch.setattr(embedding_dedup, "LIST_VECTORS", 8)
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 1024)
+    g = np.random.default_rng(5)
+    x = g.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    o = g.normal(size=x.shape)
+    o -= (o * x).sum(1, keepdims=True) * x
+    c = g.uniform(0.9, 0.91, (2000, 1))
+    x = np.concatenate([x, c * x + np.sqrt(1 - c * c) * o / np.linalg.norm(o, axis=1, keepdims=True)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = embedding_dedup.near_duplicates(df).agg(F.sum("n_links")).first()[0]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = int((u @ u.T >= 0.9).sum()) - len(u)
+    assert 0.98 * want <= got <= want, (got, want)
+
+
 def test_embeddings(spark):
     g = np.random.default_rng(4)
     base = g.normal(size=(250, 16))

@@ -12,22 +12,27 @@ Merging the posting lists:
   agreements can't all lie behind the first k - MATCHES + 1, so it is posted under these, the rarest, only; a
   document with fewer than MATCHES shared pairs is posted nowhere. Long lists are hardly ever merged.
 * Skip. The long lists are not read: agreements in them are counted from the two signatures.
-* Stars. Of each list, every member is first held against the member with the smallest id, and confirmed links
-  are contracted to components. Within a component nothing is left to find, so only members of different
-  components go on.
-* A list whose pairs across components are at most LINEAR times its members gives all of these. A longer one is
-  split: its members are posted once more under (this pair, a later pair of theirs), by the same prefix rule
-  with one agreement less to find, and so on. So the work stays linear in the postings, with no cap on partners.
+* Stars. Of each list, every member is held against the member with the smallest id, and confirmed links are
+  contracted to components. Within a component nothing is left to find.
+* Lists that still hold several components. All pairs of such a list would grow with its square, and nearly all
+  would fail. Their members are joined once more, now exactly, on the shingles themselves: in order of how many of
+  these members have a shingle, rarest first, two sets with the wanted overlap share a shingle among the first few
+  of both (how few depends on the two sizes, so the postings carry a class of sizes). A shingle that makes a
+  document unlike its group stands first, so documents that link with nothing hardly meet anyone. Keys under which
+  one component stands alone are skipped, and where others stand beside it, its members don't meet each other. There
+  is no cap on partners, lists or candidates.
 
 Cases: a text that is null, empty or white space has the empty set, links with nothing and keeps its own id. A
 text with fewer words than a shingle is one shingle of all its words. Ties: the component's id is its smallest
-doc_id. Repeated rows fall into one class and each gives a row. Rows that share a doc_id share a component. A
-null doc_id gives a null component. Extra columns are ignored; an empty table gives an empty result.
+doc_id. Repeated rows fall into one class and each gives a row. Rows that share a doc_id share a component, which
+has the links of all their texts. A null doc_id gives a null component, and is kept. Extra columns are ignored; an
+empty table gives an empty result. Ids of any type that can be ordered will do.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +42,8 @@ from pyspark.sql import functions as F
 from silvagrid.llm.common import components, dropped, joined_small, mix64, saved, slices, table, text_bytes
 
 COORDINATES, MATCHES = 32, 18
-#: A list gives its pairs across components if they are at most so many times its members.
-LINEAR = 32
-DEEPEST = 5
+#: Sizes whose logarithms to this base have the same whole part are of one class.
+SIZE_BASE = 1.05
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -122,106 +126,95 @@ def _sets(width: int):
         for batch in batches:
             for a, b in slices(batch.column("text"), 2 << 20):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), width)], pa.binary())], names=["doc_id", "hashes"])
+                sets = shingle_sets(part.column("text"), width)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), hashes], names=["doc_id", "hashes"])
 
     return run
 
 
-def _confirmed(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(SIZE_BASE)).cast("int")
 
 
 class _Join:
-    """The inverted join over the classes of one table."""
+    """The inverted join over the classes of one table, whose doc_id tells its rows apart."""
 
     def __init__(self, source: DataFrame, width: int, percent: int, matches: int):
         self.percent, self.matches = percent, matches
         kind = source.schema["doc_id"].dataType.simpleString()
         self.sketches = saved(source.mapInArrow(_sketches(width), f"doc_id {kind}, n_shingles long, set_id binary, pairs array<long>"))
-        self.classes = saved(self.sketches.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep")))
-        reps = self.sketches.join(self.classes, "set_id").where("doc_id = rep").select("doc_id", "n_shingles", "pairs")
-        posted = reps.select("doc_id", F.explode("pairs").alias("pair"))
+        self.classes = saved(self.sketches.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep")))
+        self.reps = self.sketches.join(self.classes, "set_id").where("doc_id = rep").select("doc_id", "n_shingles", "pairs")
+        posted = self.reps.select("doc_id", F.explode("pairs").alias("pair"))
         lengths = posted.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = posted.join(lengths, "pair").groupBy("doc_id").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("n", "pair")))).alias("shared"))
+        shared = posted.join(lengths, "pair").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("shared"))
         shared = shared.where(F.size("shared") >= matches)
-        self.docs = saved(shared.select("doc_id", F.col("shared.pair").alias("shared")).join(reps.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "pairs"), "doc_id"))
-        self.n_docs = self.docs.count()
-        chosen = joined_small(source, self.docs.select("doc_id"), "doc_id", "left_semi", self.n_docs)
-        firsts = chosen.mapInArrow(_sets(width), f"doc_id {kind}, hashes binary")
-        # a repeated doc_id may bring several sets; its class's representative is the one in self.docs
-        self.hashes = saved(firsts.join(self.docs.select("doc_id", "n_shingles"), "doc_id").where(F.octet_length("hashes") == 8 * F.col("n_shingles")).select("doc_id", "hashes"))
-
-    def links(self) -> DataFrame:
-        spark = self.sketches.sparkSession
-        depth, links = 0, None
-        placed = saved(self._posted())
-        while True:
-            depth += 1
-            more = self._confirm(self._stars(placed))
-            if more is not None:
-                links = more if links is None else links.union(more)
-                of = components(links).withColumnsRenamed({"id": "doc_id", "component": "now"})
-                before, placed = placed, saved(placed.join(of, "doc_id", "left").select("pair", "doc_id", "place", F.coalesce("now", "component").alias("component")))
-                dropped(before)
-            per = placed.groupBy("pair", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("pair").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("parts")).where("parts > 1 AND m > 2")
-            cross = (F.col("m") * F.col("m") - F.col("q")) / 2
-            per = saved(per.withColumn("direct", (cross <= LINEAR * F.col("m")) if depth < DEEPEST else F.lit(True)))
-            more = self._confirm(self._across(placed, per.where("direct")))
-            if more is not None:
-                links = more if links is None else links.union(more)
-            longer = per.where("NOT direct").select("pair")
-            if longer.isEmpty():
-                break
-            before, placed = placed, saved(self._split(placed.join(longer, "pair"), depth))
-            dropped(before)
-            dropped(per)
-        return links.distinct() if links is not None else spark.createDataFrame([], "u long, v long")
+        self.docs = saved(shared.select("doc_id", F.col("shared.pair").alias("shared")).join(self.reps, "doc_id"))
+        chosen = joined_small(source, self.docs.select("doc_id"), "doc_id", "left_semi", self.docs.count())
+        self.hashes = saved(chosen.mapInArrow(_sets(width), f"doc_id {kind}, hashes array<long>"))
+
+    def components(self) -> DataFrame:
+        """id, component of every document with a link."""
+        first = self._confirmed(self._stars())
+        of = components(first)
+        dropped(first)
+        pairs, used = self._rest(of)
+        more = self._confirmed(pairs)
+        # the components so far are links too
+        out = components(of.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
+        for x in (*used, more, self.docs, self.hashes):
+            dropped(x)
+        return out
 
     def _posted(self) -> DataFrame:
         k = F.size("shared")
-        return self.docs.select("doc_id", k.alias("k"), F.posexplode("shared").alias("place", "pair")).where(F.col("place") <= F.col("k") - self.matches).select("pair", "doc_id", "place", F.col("doc_id").alias("component"))
-
-    def _split(self, members: DataFrame, found: int) -> DataFrame:
-        """Lists under one more pair; ``found`` agreements are behind a member's place."""
-        rows = members.select(F.col("pair").alias("old"), "doc_id", F.col("place").alias("was"), "component").join(self.docs.select("doc_id", "shared"), "doc_id")
-        more = rows.select("old", "doc_id", "was", "component", F.size("shared").alias("k"), F.posexplode("shared").alias("place", "next"))
-        more = more.where((F.col("place") > F.col("was")) & (F.col("place") <= F.col("k") - (self.matches - found)))
-        return more.select(F.xxhash64("old", "next").alias("pair"), "doc_id", "place", "component")
-
-    def _stars(self, placed: DataFrame) -> DataFrame:
-        """Each list's members against the one with the smallest id, but those of its component."""
-        centres = placed.groupBy("pair").agg(F.min(F.struct("doc_id", "component")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
-        return placed.join(centres, "pair").where("component <> c.component").select(F.col("c.doc_id").alias("u"), F.col("doc_id").alias("v")).distinct()
-
-    def _across(self, placed: DataFrame, per: DataFrame) -> DataFrame:
-        rows = saved(placed.join(per.select("pair"), "pair"))
-        one, two = rows.select("pair", F.col("doc_id").alias("u"), F.col("component").alias("cu")), rows.select("pair", F.col("doc_id").alias("v"), F.col("component").alias("cv"))
-        return one.join(two, "pair").where("u < v AND cu <> cv").select("u", "v").distinct()
-
-    def _confirm(self, pairs: DataFrame) -> DataFrame | None:
-        """Pairs that agree in enough coordinates, then on the full sets; None if there are none."""
+        return self.docs.select("doc_id", "n_shingles", F.explode(F.slice("shared", 1, k - self.matches + 1)).alias("pair"))
+
+    def _stars(self) -> DataFrame:
+        """Each list's members against the one with the smallest id."""
+        placed = self._posted()
+        centres = placed.groupBy("pair").agg(F.min("doc_id").alias("u"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        return placed.join(centres, "pair").where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()
+
+    def _rest(self, of: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """Pairs of different components, among the members of lists that hold several, which share a shingle early
+        enough to have the wanted overlap; and the tables that these are read from."""
+        t = self.percent
+        placed = self._posted().join(of.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        mixed = placed.groupBy("pair").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("pair")
+        members = saved(placed.join(mixed, "pair").select("doc_id", F.col("n_shingles").alias("n"), "component").distinct())
+        words = members.join(self.hashes, "doc_id").select("doc_id", "n", "component", F.explode("hashes").alias("w"))
+        often = words.groupBy("w").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+        ordered = words.join(often, "w").groupBy("doc_id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("words"))
+        # shingles that no other member has come first: they need no posting, but have their places
+        at = ordered.select("doc_id", "n", "component", (F.col("n") - F.size("words")).alias("alone"), F.posexplode("words.w").alias("p", "w"))
+        at = at.withColumn("left", F.col("n") - F.col("alone") - F.col("p")).where(100 * F.col("left") >= t * F.col("n"))
+        # sets of sizes n and o link with an overlap of t (n + o) / (100 + t) or more; the smaller one offers, the larger one
+        # asks, for partners no larger than itself that so much of itself can still satisfy
+        most = F.least(F.col("n"), F.floor(F.col("left") * (100 + t) / t).cast("long") - F.col("n"))
+        least = F.ceil(t * F.col("n") / 100).cast("long")
+        offers = at.where(F.col("left") * (100 + t) >= 2 * t * F.col("n")).select("w", _size_class(F.col("n")).alias("c"), F.lit(True).alias("offer"), "doc_id", "n", "component")
+        asks = at.where(most >= least).select("w", F.explode(F.sequence(_size_class(F.greatest(least, F.lit(1))), _size_class(most))).alias("c"), F.lit(False).alias("offer"), "doc_id", most.alias("n"), "component")
+        posts = saved(offers.union(asks))
+        parts = posts.groupBy("w", "c", "component").agg(F.count(F.lit(1)).alias("m"), F.max("offer").alias("o"), F.max(~F.col("offer")).alias("a"))
+        keys = parts.groupBy("w", "c").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.max("o").alias("o"), F.max("a").alias("a")).where("parts > 1 AND o AND a").select("w", "c", "main")
+        live = posts.join(keys, ["w", "c"]).withColumn("main", F.col("component") == F.col("main"))
+        # lane 0: offers beside the main component to all who ask; lane 1: its own offers to the others
+        one = live.where("offer").select("w", "c", F.col("main").cast("int").alias("lane"), F.col("doc_id").alias("x"), F.col("n").alias("size"), F.col("component").alias("cx"))
+        two = live.where("NOT offer").select("w", "c", F.explode(F.when(F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("lane"), F.col("doc_id").alias("y"), F.col("n").alias("most"), F.col("component").alias("cy"))
+        pairs = one.join(two, ["w", "c", "lane"]).where("size <= most AND cx <> cy").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        return pairs, [members, posts]
+
+    def _confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs u, v those that agree in enough coordinates, and then on the full sets."""
         side = self.docs.select("doc_id", "n_shingles", "pairs")
-        one, two = side.toDF("u", "n", "p"), side.toDF("v", "o", "q")
-        near = pairs.join(one, "u").join(two, "v").where(100 * F.least("n", "o") >= self.percent * F.greatest("n", "o")).where(F.size(F.array_intersect("p", "q")) >= self.matches).select("u", "v")
-        near = saved(near)
-        if near.isEmpty():
-            dropped(near)
-            return None
-        full = near.join(self.hashes.toDF("v", "b"), "v").join(self.hashes.toDF("u", "a"), "u").select("u", "v", "a", "b")
-        out = saved(full.mapInArrow(_confirmed(self.percent), "u long, v long"))
-        dropped(near)
-        return None if out.isEmpty() else out
+        near = pairs.join(side.toDF("u", "n", "p"), "u").join(side.toDF("v", "o", "q"), "v")
+        near = near.where(100 * F.least("n", "o") >= self.percent * F.greatest("n", "o")).where(F.size(F.array_intersect("p", "q")) >= self.matches).select("u", "v", "n", "o")
+        full = near.join(self.hashes.toDF("v", "b"), "v").join(self.hashes.toDF("u", "a"), "u")
+        both = F.size(F.array_intersect("a", "b"))
+        return saved(full.where(both * (100 + self.percent) >= self.percent * (F.col("n") + F.col("o"))).select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, text: Column | str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80, matches: int | None = None) -> DataFrame:
@@ -231,10 +224,24 @@ def near_duplicates(docs: DataFrame, text: Column | str = "text", doc_id: str =
         p = percent / 100
         matches = max(2, int(COORDINATES * p - 4.4 * (COORDINATES * p * (1 - p)) ** 0.5))
     text = F.col(text) if isinstance(text, str) else text
-    join = _Join(docs.select(F.col(doc_id).alias("doc_id"), text.alias("text")), width, percent, matches)
-    of = components(join.links())
-    to = join.classes.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
-    out = join.sketches.join(to, "set_id", "left")
+    source, ids = docs.select(F.col(doc_id).alias("doc_id"), text.alias("text")), None
+    if not source.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        # doc_id doesn't tell the rows apart: keys in its order do
+        keyed = saved(source.orderBy("doc_id").withColumn("row_key", F.monotonically_increasing_id()))
+        source, ids = keyed.select(F.col("row_key").alias("doc_id"), "text"), keyed.select(F.col("row_key").alias("doc_id"), F.col("doc_id").alias("own"))
+    join = _Join(source, width, percent, matches)
+    of = join.components()
+    if ids is not None:
+        firsts = ids.where("own IS NOT NULL").groupBy("own").agg(F.min("doc_id").alias("v"))
+        classes = join.sketches.select("doc_id", "set_id").join(join.classes, "set_id").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+        same = ids.join(firsts, "own").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
+        of = components(of.select(F.col("id").alias("u"), F.col("component").alias("v")).union(classes).union(same))
+        least = of.join(ids.where("own IS NOT NULL").withColumnRenamed("doc_id", "id"), "id").groupBy("component").agg(F.min("own").alias("component_id"))
+        to = of.join(least, "component").select(F.col("id").alias("doc_id"), "component_id")
+        out = join.sketches.select("doc_id", "n_shingles").join(ids, "doc_id").join(to, "doc_id", "left").select(F.col("own").alias("doc_id"), "n_shingles", F.when(F.col("own").isNotNull(), F.col("component_id")).alias("component_id"))
+    else:
+        to = join.classes.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
+        out = join.sketches.select("doc_id", "n_shingles", "set_id").join(to, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

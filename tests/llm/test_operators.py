@@ -401,19 +401,71 @@ def test_mixed_documents_hold_what_was_counted(docs):
     assert all(n[i] == r.taken for i, r in counts.items())
 
 
-@pytest.mark.parametrize("width,percent,linear", [(3, 85, minhash.LINEAR), (5, 80, minhash.LINEAR), (3, 85, 0)])
-def test_near_dedup(docs, width, percent, linear, monkeypatch):
-    monkeypatch.setattr(minhash, "LINEAR", linear)  # at 0, every list is split as deep as it goes
+def shingled(texts, width):
     sets = {}
-    for i, t in texts().items():
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m.group().lower(), t))
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m.group().lower(), t or ""))
         sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
-    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return sets
+
+
+def near_pairs(sets, percent):
+    return [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+
+
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_near_dedup(docs, width, percent):
+    sets = shingled(texts(), width)
+    pairs = near_pairs(sets, percent)
     want = joined(pairs, sets)
     got = table(minhash.near_duplicates(docs, width=width, percent=percent))
     assert pairs and all((got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), want[i], want[i] == i) for i in sets)
 
 
+def families(seed=8):
+    """Groups of texts with more and more words changed, so that lists hold many components; ids in no order."""
+    r = random.Random(seed)
+    out = []
+    for size in (150, 60, 30):
+        base = [r.choice(WORDS) + str(r.randint(0, 60)) for _ in range(size)]
+        for _ in range(70):
+            w = list(base)
+            for _ in range(r.choice([0, 1, 1, 2, 3, 4, 6, 9])):
+                w[r.randrange(len(w))] = f"new{r.randint(0, 10**6)}"
+            out.append(" ".join(w[: len(w) - r.choice([0, 0, 0, 3, 12])]))
+    r.shuffle(out)
+    return dict(enumerate(out))
+
+
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_near_dedup_of_families(spark, width, percent):
+    given = families()
+    sets = shingled(given, width)
+    want = joined(near_pairs(sets, percent), sets)
+    got = table(minhash.near_duplicates(spark.createDataFrame(list(given.items()), "doc_id long, text string"), width=width, percent=percent))
+    assert len(set(want.values())) > 60 and {i: got[i].component_id for i in sets} == want
+
+
+def test_near_dedup_exact_step_alone(spark):
+    """Without any link from the stars, the join on shingles finds all."""
+    given = families(9)
+    sets = shingled(given, 3)
+    pairs = near_pairs(sets, 85)
+    source = spark.createDataFrame(list(given.items()), "doc_id long, text string")
+    join = minhash._Join(source, 3, 85, minhash.MATCHES)
+    got, _ = join._rest(spark.createDataFrame([], "id long, component long"))
+    first = {hash(frozenset(s)): i for i, s in sorted(sets.items(), reverse=True)}  # one text of each class is in the join
+    wanted = {(a, b) for a, b in pairs if first[hash(frozenset(sets[a]))] == a and first[hash(frozenset(sets[b]))] == b}
+    assert wanted and wanted <= {(r.u, r.v) for r in got.collect()}
+
+
+def test_near_dedup_repeated_ids_and_other_types(spark):
+    w = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    rows = [("k", " ".join(w)), ("k", "quite another text of more words than five"), ("b", " ".join(w)), ("z", "quite another text of more words than five"), (None, " ".join(w)), ("y", None), ("x", " ".join(w[:3]))]
+    got = [tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()]
+    assert sorted(got, key=str) == sorted([("k", 22, "b", False), ("k", 4, "b", False), ("b", 22, "b", True), ("z", 4, "b", False), (None, 22, None, True), ("y", 0, "y", True), ("x", 1, "x", True)], key=str)
+
+
 def test_empty_tables(nothing, spark):
     path, pattern = codec()
     plain = nothing.select("doc_id", "text", "lang", "source", "n_chars")

@@ -71,12 +71,18 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _octet(digits: str) -> bool:
+    """At most 255, with any number of zeros before it."""
+    digits = digits.lstrip("0")
+    return len(digits) < 4 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """By kind as listed in BASE, then start."""
     if not _ANY.search(text):
         return []
     out = [("email", a, b) for a, b in _emails(text)]
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(_octet(p) for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         d = _digits(m.group())
         if 13 <= len(d) <= 19 and luhn(d):

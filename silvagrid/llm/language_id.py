@@ -8,7 +8,8 @@ of the sample's length, so samples of different length compare. The language wit
 The parse is a walk: follow the automaton while it can, else count a phrase and begin again at the root with
 the same character. "Can't follow" is folded into one table (the root's own step, with a count), so one step is
 one lookup, and numpy takes the steps of thousands of windows and of all languages at once. Texts are parsed in
-windows of WINDOW characters so that long texts become many lanes; every character of a text is parsed.
+windows of WINDOW characters so that long texts become many lanes; a window goes on where the one before it ends, so
+the phrases are those of the whole text.
 
 Sampling bound: ``sample_chars`` characters a language at most (fewer if the languages' tables would exceed
 ``table_bytes`` together), in pieces at hashed places of the distinct labelled texts, in the order of a hash of the
@@ -124,7 +125,8 @@ class Model:
         self.cost = np.array([np.log2(max(2, len(samples[k]))) for k in self.langs])
 
     def phrases(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases by [text, language]."""
+        """Phrases by [text, language]. Windows are first walked from the root, all at once; then each but a text's first
+        is walked again from the state in which the one before it ends, as far as the two walks differ."""
         n_texts = len(lengths)
         cls = self.lookup[np.minimum(codes, len(self.lookup) - 1)]
         starts = np.concatenate([[0], np.cumsum(lengths)])
@@ -134,25 +136,52 @@ class Model:
         place = (np.arange(len(owner)) - first[owner]) * WINDOW
         begin, size = starts[owner] + place, np.minimum(WINDOW, lengths[owner] - place)
         order = np.argsort(-size, kind="stable")
-        owner, begin, size = owner[order], begin[order], size[order]
         state = np.repeat(self.roots[:, None], len(owner), 1)
         count = np.zeros(state.shape, np.int32)
-        lives = np.searchsorted(-size, -np.arange(WINDOW), "left")  # windows longer than t
+        lives = np.searchsorted(-size[order], -np.arange(WINDOW), "left")  # windows longer than t
+        at_begin = begin[order]
         for t in range(WINDOW):
             live = lives[t]
             if not live:
                 break
             at = state[:, :live]
-            at += cls[begin[:live] + t]
+            at += cls[at_begin[:live] + t]
             step = self.table.take(at)
             count[:, :live] += step & 3
             np.right_shift(step, 2, out=at)
-        count += state != self.roots[:, None]  # a window's end ends the open phrase
+        back = np.argsort(order)
+        state, count = state[:, back], count[:, back]
+        self._resume(cls, begin, size, place > 0, state, count)
         out = np.zeros((n_texts, len(self.langs)))
+        last = place + size == lengths[owner]
+        count += (state != self.roots[:, None]) & last  # a text's end ends the open phrase
         for j in range(len(self.langs)):
             out[:, j] = np.bincount(owner, count[j], n_texts)
         return out
 
+    def _resume(self, cls, begin, size, later, state, count) -> None:
+        """Mends the windows' end states and counts, which were taken from the root, for the states they really begin in."""
+        came = np.repeat(self.roots[:, None], state.shape[1], 1)  # what each window's walk began with
+        alone, lone_count = state.copy(), count.copy()
+        while True:
+            true = came.copy()
+            true[:, 1:] = np.where(later[1:], state[:, :-1], came[:, 1:])
+            lang, lane = np.nonzero(true != came)
+            if not len(lane):
+                return
+            came[lang, lane] = true[lang, lane]
+            one, two, at, end = self.roots[lang].copy(), true[lang, lane], begin[lane].copy(), begin[lane] + size[lane]
+            # until shown otherwise, the walk from the root is met
+            state[lang, lane], count[lang, lane] = alone[lang, lane], lone_count[lang, lane]
+            while len(lane):
+                a, b = self.table.take(one + cls[at]), self.table.take(two + cls[at])
+                count[lang, lane] += (b & 3) - (a & 3)
+                one, two, at = a >> 2, b >> 2, at + 1
+                over = (at == end) & (one != two)
+                state[lang[over], lane[over]] = two[over]
+                on = (one != two) & (at < end)
+                lang, lane, one, two, at, end = lang[on], lane[on], one[on], two[on], at[on], end[on]
+
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         codes, size = folded(texts)
         letters = np.concatenate([[0], np.cumsum(codes != 32)])

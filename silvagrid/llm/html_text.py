@@ -5,9 +5,9 @@ the article (navigation, page headers and footers, sidebars, forms, comments, ad
 role, or by a word of class or id) go at once, as do scripts and styles. The first pass decides the others by
 link density, length and the density of stop words (of five languages): good, bad, or undecided. In the second
 pass undecided blocks take the label of their nearest decided neighbours. Inside ``article`` or ``main`` only
-link density decides against a block, neighbours outside don't count, and where nothing is decided the block is
+link density decides against a block that doesn't read like a sentence, neighbours outside don't count, and where nothing is decided the block is
 kept; elsewhere it is dropped. On a page without either, a block with decided neighbours on one side only takes
-their label, a long block with few stop words is undecided, and where no block has the stop words of a listed
+their label, a block with few stop words is undecided at any length, and where no block has the stop words of a listed
 language, length and links decide alone.
 
 Cases: null or empty html, or a page without kept blocks, gives the empty text. Unclosed or crossed tags,
@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from silvagrid.llm.common import slices, table
 
 _RAW = "script style noscript template textarea svg math iframe object select canvas video audio title"
-_IN_TAG = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+"
+# only behind "=" does a quote open a value in which ">" may stand
+_IN_TAG = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+>?|<\?[^>]*+>?"
     rf"|<({'|'.join(_RAW.split())})(?=[\s/>]){_IN_TAG}>(?:(?<=/>)|.*?</\1\s*>|.*\Z)"
@@ -45,7 +46,9 @@ HINTS = frozenset(
     " signup login share sharing social related recommended pagination pager tags skip".split()
 )
 VOID = frozenset("br img hr input meta link area base col embed source track wbr param".split())
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A class with one of these words says what its place has or lacks, not what it is.
+STATES = frozenset("no not has have is with without hide hidden show shows open closed toggle enabled disabled active".split())
+_ATTR = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 STOP = frozenset(
     "the of and to in a is that for it was on with as be by at are this from or an he his had not which you but have they her she we were their been has will would if there can all so no"
@@ -59,11 +62,26 @@ SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 1 / 3, 0.18, 0.28
 
 
 def blocks_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters inside links, inside article or main) of each block that may be text of the article."""
+    """(text, characters inside links, inside article or main) of each block that may be text of the article. An element
+    whose class or id alone speaks against it is read all the same where it holds most of the page's text."""
+    tokens, trusted = TOKEN.findall(page), frozenset()
+    while True:
+        out, held, total = _blocks(tokens, trusted)
+        most = {k for k, n in held.items() if 2 * n > total}
+        if not most:
+            return out
+        trusted |= most
+
+
+def _blocks(tokens, trusted: frozenset[int]) -> tuple[list[tuple[str, int, bool]], dict[int, int], int]:
+    """The blocks; the characters of text within each element put away for its class or id (by its token's number,
+    the outermost only); and those of the whole page. The ``trusted`` elements' classes and ids are not asked."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    linked = away = inside = links = 0
+    linked = away = inside = links = total = 0
     stack: list[tuple[str, bool, bool]] = []
+    held: dict[int, int] = {}
+    by_class = -1  # the element that put this place away, if for its class or id
 
     def flush() -> None:
         nonlocal linked
@@ -74,8 +92,12 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
             parts.clear()
         linked = 0
 
-    for raw, close, name, attrs, text in TOKEN.findall(page):
+    for number, (raw, close, name, attrs, text) in enumerate(tokens):
         if text:
+            n = len(text) - text.count(" ")
+            total += n
+            if away and by_class >= 0:
+                held[by_class] = held.get(by_class, 0) + n
             if not away:
                 text = _html.unescape(text) if "&" in text else text
                 parts.append(text)
@@ -107,34 +129,36 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
                         break
             continue
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "html", "body", "head"):
-            marked = False
-            if attrs and not away:
-                marked = _hinted(attrs)
-            if not marked:
+            if name in ("html", "body", "head") or not attrs or away or number in trusted or not _hinted(attrs):
                 continue  # their ends change nothing
             # a marked paragraph or list item lasts until its end tag or the next of its kind
             if stack and stack[-1][0] == name:
                 _, off, body = stack.pop()
                 away -= off
                 inside -= body
-        off = (name in AWAY and not (name == "header" and inside)) or bool(attrs and _hinted(attrs) and name not in ("article", "main"))
+        sure = name in AWAY and not (name == "header" and inside)
+        off = sure or bool(attrs and number not in trusted and name not in ("article", "main") and _hinted(attrs))
         body = name in ("article", "main")
         if not attrs.endswith("/"):
+            if off and not away:
+                by_class = -1 if sure else number
             stack.append((name, off, body))
             away += off
             inside += body
     flush()
-    return out
+    return out, held, total
 
 
 def _hinted(attrs: str) -> bool:
     for key, a, b, c in _ATTR.findall(attrs):
-        words = re.split(r"[^a-z0-9]+", (a or b or c).lower())
-        if key.lower() == "role":
-            if not ROLES.isdisjoint(words):
+        for token in (a or b or c).lower().split():
+            if key.lower() == "role":
+                if token in ROLES:
+                    return True
+                continue
+            words = re.split(r"[^a-z0-9]+", token)
+            if STATES.isdisjoint(words) and not HINTS.isdisjoint(words):
                 return True
-        elif not HINTS.isdisjoint(words):
-            return True
     return False
 
 
@@ -147,7 +171,9 @@ def main_text(page: str | None) -> str:
     found = blocks_of(page or "")
     labels: list[str] = []
     whole = not any(body for _, _, body in found)  # no article or main to go by
-    density = [None if linked > LINKS * len(text) else _dense(text) for text, linked, _ in found]
+    density = [_dense(text) for text, _, _ in found]
+    # a paragraph of an article may be one link; what reads like a sentence is none of a menu's
+    density = [None if linked > LINKS * len(text) and not (body and d >= STOP_LOW) else d for d, (text, linked, body) in zip(density, found, strict=True)]
     unlisted = whole and not any(d is not None and d >= STOP_LOW and len(text) >= SHORT for d, (text, _, _) in zip(density, found, strict=True))
     for (text, _, body), dense in zip(found, density, strict=True):
         size = len(text)
@@ -163,7 +189,7 @@ def main_text(page: str | None) -> str:
             labels.append("good" if size > LONG or body else "near")
         elif dense >= STOP_LOW:
             labels.append("near")
-        elif body or (whole and size > LONG):
+        elif body or whole:
             labels.append("?")
         else:
             labels.append("bad")

@@ -160,6 +160,33 @@ def test_html_without_article_or_main():
     assert table.strip() in html_text.main_text(f"<p>{words * 5}</p><p>{table}</p><p>{words * 5}</p>")
 
 
+SENTENCE = "The river of the valley was as long as the road that led to it, and there was no other way for those who came from the hills."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body class='home has-sidebar'><div><p>{SENTENCE}</p></div></body>",
+        f"<div class='content no-comments'><p>{SENTENCE}</p></div>",
+        f"<body id=banner><div class='comments'><p>{SENTENCE}</p></div><p>x</p></body>",  # the class of an element with most of the text
+        f'<article><p title="5" tall">{SENTENCE}</p></article>',
+        f"<article><p title='>' a=\"b>c\" alt=it's>{SENTENCE}</p></article>",
+        f"<article><p><a href=/x>{SENTENCE}</a></p></article>",
+        f"<article data-class='ad' data-id=nav><p>{SENTENCE}</p><ul class='share social'><li><a href=/>Tell a friend</a></ul><aside>Aside</aside></article>",
+        f"<nav class=menu><ul><li><a href=/>Home</a></ul></nav><main><p>{SENTENCE}</main><div class='cookie-banner'>We use cookies</div><div id=comments><p>I read it</div>",
+        f"<header>Top</header><p>{SENTENCE}</p><footer>(c)</footer><script>if (a<b) x='</p>'</script><form>Name <input></form>",
+    ],
+)
+def test_html_keeps_the_article_and_no_more(page):
+    assert html_text.main_text(page).removesuffix("\nx") == SENTENCE
+
+
+def test_html_code_between_paragraphs():
+    code = "x1 = f(y2); z3 += g(x1, y2); return z3 % 7 if q else None; // " * 2
+    words = SENTENCE + " " + SENTENCE
+    assert html_text.main_text(f"<p>{words}</p><pre>{code}</pre><p>{words}</p>") == "\n".join([words, code.strip(), words])
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", None, "t"), (2, None, "<article><p>Hello</p></article>", "t")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extracted(rows).orderBy("page_id").collect()] == [(1, "", 0), (2, "Hello", 5)]
@@ -184,6 +211,12 @@ def test_pii_base_equals_the_patterns():
         assert pii.base_spans(s) == base_by_patterns(s)
 
 
+def test_pii_long_digits():
+    assert pii.base_spans("0" * 5000 + "1.2.3.4") == [("ip", 0, 5007)]
+    assert pii.base_spans("9" * 5000 + ".2.3.4") == []
+    assert pii.base_spans("1" * 300_000 + " " + "1.x" * 100_000) == []
+
+
 def test_pii_field_finds_held_out_spans(spark):
     field = pii.fitted()
     rows = pii.labelled_table(120, 77)
@@ -242,6 +275,13 @@ def test_suffix_automaton_parses_into_longest_matches():
         t = "".join(r.choice("thecasonmq ") for _ in range(r.randint(1, 60)))
         codes = np.array([ord(c) for c in t], np.uint32)
         assert int(m.phrases(codes, np.array([len(t)]))[0, 0]) == phrases(t)
+    # texts of many windows, side by side, over two languages
+    other = "no dog nods on and on and on and on"
+    two = language_id.Model({"x": sample, "y": other})
+    made = ["".join(r.choice(("thecasonmq ", "no d", sample)[k % 3]) for _ in range(r.choice([0, 1, 511, 512, 513, 3000]))) for k in range(60)] + [other * 40, (sample * 60)[7:], "no d" * 700]
+    got = two.phrases(np.array([ord(c) for t in made for c in t], np.uint32), np.array([len(t) for t in made]))
+    for t, g in zip(made, got[:, 0].tolist(), strict=True):
+        assert g == phrases(t)
 
 
 def test_pii_spans_over_any_place_of_a_long_line():

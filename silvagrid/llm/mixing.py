@@ -13,7 +13,7 @@ documents, and over the bucket totals, again in parts. No task sees all document
 Cases: a null text has no words; such documents, and those without words, are taken 0 times. A null source is
 a source of its own and comes last. A source without words has target 0. Where all sources reach their cap of
 ``cap`` times their size, the mix is as large as the caps allow. Repeated rows are separate stretches of the
-stream, but doc_id must tell documents apart for the counts of mix_counts(); rows that share it share their counts' sum.
+stream, and each has its own count, also where they share doc_id and text.
 Extra columns are ignored by mix_counts() and kept by mix_documents(). An empty table gives an empty result.
 """
 
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from silvagrid.llm.common import mix64, saved, table
+from silvagrid.llm.common import BROADCAST_ROWS, mix64, saved, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 64
@@ -116,13 +116,14 @@ def _plan(docs: DataFrame, weights, share: float, cap: float, block: int, seed:
         slots, last = slots_for(round(goal[i]), sizes[i], block, lambda e, i=i: _keys(seed, i, e))
         rows.append((r.source, i, sizes[i], float(goal[i]), math.ceil(sizes[i] / block), max(1, math.ceil(r.n_docs / BUCKET_DOCS)), slots, last))
     sources = spark.createDataFrame(rows, "source string, source_no int, source_size long, target double, n_blocks long, n_buckets long, n_slots long, last_words int")
-    return F.broadcast(sources), rows
+    return sources, rows
 
 
-def placed(docs: DataFrame, sources: DataFrame) -> DataFrame:
+def placed(docs: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     """Adds start: the number of words before the document in its source's stream, whose order is by
     (bucket, doc_id, hash of the row's other key)."""
-    dealt = docs.join(sources, docs.source.eqNullSafe(sources.source)).drop(sources.source)
+    side = F.broadcast(sources) if n_sources <= BROADCAST_ROWS else sources
+    dealt = docs.join(side, docs.source.eqNullSafe(sources.source)).drop(sources.source)
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("n_buckets")))
     totals = dealt.groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_words"))
     # bucket totals: one row for BUCKET_DOCS documents; summed in parts of 1,024 buckets
@@ -155,17 +156,35 @@ def _hypergeometric(rng, left: np.ndarray, n: int) -> np.ndarray:
     for i, c in enumerate(left.tolist()):
         rest -= c
         if c and n:
-            # numpy's draw is limited to 1e9 of a kind; beyond, the normal limit is rounded into range
-            if c + rest < 10**9:
-                k = int(rng.hypergeometric(c, rest, n))
-            else:
-                p = c / (c + rest)
-                sd = math.sqrt(n * p * (1 - p) * max(0.0, (c + rest - n) / max(1, c + rest - 1)))
-                k = min(c, n, max(n - rest, 0, round(rng.normal(n * p, sd))))
+            k = int(rng.hypergeometric(c, rest, n)) if c + rest < 10**9 else _drawn(rng, c, rest, n)
             out[i], n = k, n - k
     return out
 
 
+def _fallen(c: int, k: int) -> float:
+    """log of c (c - 1) ... (c - k + 1) / c ** k."""
+    if c - k < 10**6:
+        return math.lgamma(c + 1) - math.lgamma(c - k + 1) - k * math.log(c) if c else 0.0
+    return -(c - k + 0.5) * math.log1p(-k / c) - k + 1 / (12 * c) - 1 / (12 * (c - k))
+
+
+def _drawn(rng, c: int, rest: int, n: int) -> int:
+    """A hypergeometric draw beyond numpy's limit of 1e9: a binomial one, taken with the quotient of the two
+    probabilities, which is largest at the mean."""
+    least, most = max(0, n - rest), min(c, n)
+    if least == most:
+        return least
+    if 2 * n > c + rest:  # what stays behind is the smaller draw
+        return c - _drawn(rng, c, rest, c + rest - n)
+    quotient = lambda k: _fallen(c, k) + _fallen(rest, n - k)
+    mean = n * c // (c + rest)
+    top = max(quotient(min(most, max(least, mean + d))) for d in (-1, 0, 1, 2))
+    while True:
+        k = int(rng.binomial(n, c / (c + rest)))
+        if least <= k <= most and math.log(1 - rng.random()) <= quotient(k) - top:
+            return k
+
+
 def slot_table(spark: SparkSession, rows, seed: int) -> DataFrame:
     """One row per slot: shard, slot (its number in the shard), source_no, epoch, block, words (null: all)."""
     ranges = _shard_ranges(rows, seed)
@@ -200,12 +219,13 @@ def slot_table(spark: SparkSession, rows, seed: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, block: int = BLOCK, seed: int = 20240607, text: Column | str = "text"):
     """(documents with their places, slots, pieces). A piece is a stretch of a document that a slot takes:
-    shard, slot, epoch, source_no, block, doc_id, row_key, from_word, to_word (within the document)."""
+    shard, slot, epoch, source_no, block, doc_id, row_key, start, from_word, to_word (within the document). A row with words
+    is told by its source_no and start, also where doc_id and text are repeated."""
     text = F.col(text) if isinstance(text, str) else text
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("row_key"))
     sized = saved(sized)
     sources, rows = _plan(sized, list(weights), share, cap, block, seed)
-    places = placed(sized, sources)
+    places = placed(sized, sources, len(rows))
     slots = slot_table(docs.sparkSession, rows, seed)
     held = places.where("size > 0").select(
         "source_no", "doc_id", "row_key", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block")
@@ -214,24 +234,34 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float
     both = held.hint("merge").join(slots.hint("merge"), ["source_no", "block"])
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block, F.col("block") * block + F.coalesce(F.col("words"), F.lit(block)))
     begin = F.greatest(F.col("start"), F.col("block") * block)
-    pieces = both.where(end > begin).select("shard", "slot", "epoch", "source_no", "block", "doc_id", "row_key", (begin - F.col("start")).alias("from_word"), (end - F.col("start")).alias("to_word"))
+    pieces = both.where(end > begin).select("shard", "slot", "epoch", "source_no", "block", "doc_id", "row_key", "start", (begin - F.col("start")).alias("from_word"), (end - F.col("start")).alias("to_word"))
     return places, slots, pieces
 
 
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per row of docs."""
     places, _, pieces = mix(docs, **options)
-    taken = pieces.groupBy(F.col("doc_id").alias("of_doc"), F.col("row_key").alias("of_key")).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    return places.join(taken, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("row_key") == F.col("of_key")), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.groupBy("source_no", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    taken = taken.withColumnsRenamed({"source_no": "of_source", "start": "of_start"})
+    # a row without words stands where the next one begins, and takes nothing
+    own = (F.col("size") > 0) & (F.col("source_no") == F.col("of_source")) & (F.col("start") == F.col("of_start"))
+    return places.join(taken, own, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each document and epoch in which it is taken, a row with the words taken.
     Stretches that touch keep the text between them as it is; others are joined by a line end."""
-    _, _, pieces = mix(docs, **options)
-    spans = pieces.groupBy("doc_id", "row_key", "epoch").agg(F.sort_array(F.collect_list(F.struct(F.col("from_word").cast("int").alias("a"), F.col("to_word").cast("int").alias("b")))).alias("spans"))
-    keyed, spans = docs.withColumn("row_key", F.xxhash64("text")), spans.withColumnsRenamed({"doc_id": "of_doc", "row_key": "of_key"})
-    kept = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("row_key") == F.col("of_key")))
+    places, _, pieces = mix(docs, **options)
+    words = F.sort_array(F.collect_list(F.struct(F.col("from_word").cast("int").alias("a"), F.col("to_word").cast("int").alias("b"))))
+    spans = pieces.groupBy("doc_id", "row_key", "source_no", "start", "epoch").agg(words.alias("spans"))
+    keyed = docs.withColumn("row_key", F.xxhash64("text"))
+    row = ["doc_id", "row_key", "source_no"]
+    if not places.where("size > 0").groupBy(*row).count().where("count > 1").isEmpty():
+        # repeated rows are told by their starts, which only the spans have: one row stands for all
+        keyed = keyed.dropDuplicates(["doc_id", "row_key", "source"])
+    numbers = places.select(F.col("source").alias("of_source"), "source_no").distinct()
+    named = spans.join(numbers, "source_no").withColumnsRenamed({"doc_id": "of_doc", "row_key": "of_key"})
+    kept = keyed.join(named, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("row_key") == F.col("of_key")) & F.col("source").eqNullSafe(F.col("of_source")))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:

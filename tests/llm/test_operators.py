@@ -399,13 +399,57 @@ def test_equal_short_lines_go(spark):
     assert [(got[i].kept_text, got[i].n_removed) for i in range(3)] == [(texts[0], 0), ("Yes\n", 2), ("noo\n", 2)]
 
 
-def test_variants_meet_just_within_one_edit():
+def removed_lines(texts, least):
+    first = {}
+    for i, t in sorted(texts.items()):
+        for j, line in enumerate(t.split("\n")):
+            if line:
+                first.setdefault(line, (i, j))
+    long = [x for x in first if len(x) >= least]
+    gone = {a for a in long for b in long if first[b] < first[a] and line_dedup.within_one(a, b)}
+    return {i: [j for j, x in enumerate(t.split("\n")) if x and (first[x] != (i, j) or x in gone)] for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_lines_of_two_letters(spark, monkeypatch, clash):
+    """Short lines over two letters, where nearly all have neighbours; once with keys so short that they meet by chance."""
     r = random.Random(6)
-    for _ in range(400):
-        a = "".join(r.choice("ab") for _ in range(r.randint(1, 7)))
-        b = "".join(r.choice("ab") for _ in range(r.randint(1, 7)))
-        if line_dedup.within_one(a, b):
-            assert set(line_dedup.variants(a)) & set(line_dedup.variants(b))
+    given = {i: "\n".join("".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(6)) for i in range(120)}
+    if clash:
+        whole = line_dedup.keys_of
+        monkeypatch.setattr(line_dedup, "_neighbourhood", _clashing(whole))
+    got = table(line_dedup.deduplicated(spark.createDataFrame(list(given.items()), "doc_id long, text string").repartition(3), least=3))
+    want = removed_lines(given, 3)
+    assert all(got[i].n_removed == len(w) for i, w in want.items())
+    assert all(got[i].kept_text == "\n".join(x for j, x in enumerate(given[i].split("\n")) if j not in w) for i, w in want.items())
+
+
+def _clashing(keys_of):
+    def run(batches):
+        line_dedup.keys_of = lambda line, wanted: ((k := keys_of(line, wanted))[0] % np.uint64(7), k[1])
+        try:
+            yield from plain(batches)
+        finally:
+            line_dedup.keys_of = keys_of
+
+    plain = line_dedup._neighbourhood
+    return run
+
+
+def test_line_families(spark):
+    """A common line with a character replaced or put in anywhere, and ids that are text."""
+    r = random.Random(12)
+    base = "this is a common line of forty characters"
+    lines = []
+    for _ in range(150):
+        i, c = r.randrange(len(base)), r.choice("xyzé長")
+        lines.append(r.choice([base[:i] + c + base[i + 1 :], base[:i] + c + base[i:], base[:i] + base[i + 1 :], base]))
+    given = {f"d{i:03}": "\n".join(lines[i * 3 : i * 3 + 3]) for i in range(50)}
+    got = table(line_dedup.deduplicated(spark.createDataFrame(list(given.items()), "doc_id string, text string")))
+    want = removed_lines(given, line_dedup.MIN_CHARS)
+    assert sum(map(len, want.values())) > 100 and all(got[i].n_removed == len(w) for i, w in want.items())
+    near = table(line_dedup.deduplicated(spark.createDataFrame([(None, base), (None, base), ("a", base + "x\n" + base)], "doc_id string, text string")))
+    assert near["a"].kept_text == "" and near[None].n_removed == 0
 
 
 def test_mixing(docs):
@@ -441,6 +485,30 @@ def test_mixed_documents_hold_what_was_counted(docs):
     assert all(n[i] == r.taken for i, r in counts.items())
 
 
+def test_mixing_of_repeated_rows(spark):
+    rows = [(1, "one two three four five " * 30, "a")] * 4 + [(1, "one two three four five " * 30, "b"), (None, "x y z", "a"), (None, "x y z", "a"), (2, "", "a"), (3, None, None), (4, "words of the other source " * 20, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counts = mixing.mix_counts(df).collect()
+    assert len(counts) == len(rows) and all(r.taken <= 2 * r.size for r in counts)
+    n = collections.Counter()
+    for r in mixing.mix_documents(df).collect():
+        n[r.doc_id, r.source] += len(r.text.split())
+    assert n["", ""] == 0 and sum(n.values()) == sum(r.taken for r in counts)
+    assert n[1, "b"] == 271 and n[1, "a"] + n[None, "a"] == sum(r.taken for r in counts if r.source_size == 606)
+
+
+def test_large_hypergeometric_draws():
+    rng = np.random.default_rng(3)
+    for c, rest, n in ((3 * 10**9, 10**9, 40_000), (10**12, 3, 10**11), (2 * 10**9, 2 * 10**9, 3 * 10**9)):
+        got = np.array([mixing._drawn(rng, c, rest, n) for _ in range(400)], float)
+        p = c / (c + rest)
+        sd = (n * p * (1 - p) * (c + rest - n) / (c + rest - 1)) ** 0.5
+        assert abs(got.mean() - n * p) < 5 * sd / 20 and 0.85 * sd <= got.std() <= 1.15 * sd and got.max() <= min(c, n)
+    # the quotient of probabilities, against exact logarithms of factorials
+    lg = lambda c, k: sum(np.log1p(-np.arange(k) / c))
+    assert all(abs(mixing._fallen(c, k) - lg(c, k)) < 1e-6 for c, k in ((2 * 10**6, 1000), (10**9, 50_000), (10**5, 7)))
+
+
 def shingled(texts, width):
     sets = {}
     for i, t in texts.items():

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from silvagrid.llm.common import slices, table
 
 #: Pre-tokens that a process remembers at most; texts of about so many bytes are encoded together.
-REMEMBERED, BATCH_BYTES = 500_000, 24 << 20
+REMEMBERED, BATCH_BYTES = 500_000, 4 << 20
 #: The pattern for which SIMPLE is an equivalent.
 PUBLIC = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"

@@ -12,8 +12,11 @@ Merging the posting lists:
   agreements can't all lie behind the first k - MATCHES + 1, so it is posted under these, the rarest, only; a
   document with fewer than MATCHES shared pairs is posted nowhere. Long lists are hardly ever merged.
 * Skip. The long lists are not read: agreements in them are counted from the two signatures.
-* Stars. Of each list, every member is held against the member with the smallest id, and confirmed links are
-  contracted to components. Within a component nothing is left to find.
+* Stars. Of each list, every member is held against one member, which a hash of the list and the id chooses: another
+  in most lists, so that one document unlike its group does no harm. Confirmed links are contracted to components.
+  Within a component nothing is left to find.
+* Bitmaps. A set's bitmap has a bit for the parity of its shingles in each of BITS places. Two bitmaps differ in no more
+  bits than the sets differ in shingles, so pairs that differ in too many can't link and go unread.
 * Lists that still hold several components. All pairs of such a list would grow with its square, and nearly all
   would fail. Their members are joined once more, now exactly, on the shingles themselves: in order of how many of
   these members have a shingle, rarest first, two sets with the wanted overlap share a shingle among the first few
@@ -44,6 +47,7 @@ from silvagrid.llm.common import components, dropped, joined_small, mix64, saved
 COORDINATES, MATCHES = 32, 18
 #: Sizes whose logarithms to this base have the same whole part are of one class.
 SIZE_BASE = 1.05
+BITS = 2048
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -102,6 +106,19 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return mix64(least ^ _SALT).view(np.int64)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits, as 64-bit words: the parity of the number of hashes in each place."""
+    odd = np.bincount((hashes >> np.uint64(17)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _alike(percent: int, n: str, o: str, p: str, q: str) -> Column:
+    """Whether sets of n and o shingles with bitmaps p and q may have the similarity."""
+    apart = F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    both = F.col(n) + F.col(o)
+    return (both - apart) * (100 + percent) >= 2 * percent * both
+
+
 def _sketches(width: int):
     def run(batches):
         for batch in batches:
@@ -129,7 +146,7 @@ def _sets(width: int):
                 sets = shingle_sets(part.column("text"), width)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), hashes], names=["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), hashes, pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "hashes", "bits"])
 
     return run
 
@@ -153,7 +170,7 @@ class _Join:
         shared = shared.where(F.size("shared") >= matches)
         self.docs = saved(shared.select("doc_id", F.col("shared.pair").alias("shared")).join(self.reps, "doc_id"))
         chosen = joined_small(source, self.docs.select("doc_id"), "doc_id", "left_semi", self.docs.count())
-        self.hashes = saved(chosen.mapInArrow(_sets(width), f"doc_id {kind}, hashes array<long>"))
+        self.hashes = saved(chosen.mapInArrow(_sets(width), f"doc_id {kind}, hashes array<long>, bits array<long>"))
 
     def components(self) -> DataFrame:
         """id, component of every document with a link."""
@@ -173,10 +190,11 @@ class _Join:
         return self.docs.select("doc_id", "n_shingles", F.explode(F.slice("shared", 1, k - self.matches + 1)).alias("pair"))
 
     def _stars(self) -> DataFrame:
-        """Each list's members against the one with the smallest id."""
-        placed = self._posted()
-        centres = placed.groupBy("pair").agg(F.min("doc_id").alias("u"), F.count(F.lit(1)).alias("m")).where("m > 1")
-        return placed.join(centres, "pair").where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()
+        """Each list's members against the one that the hash chooses."""
+        placed = self._posted().select("pair", "doc_id")
+        centres = placed.groupBy("pair").agg(F.min_by("doc_id", F.xxhash64("pair", "doc_id")).alias("u"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        met = placed.join(centres, "pair").where("doc_id <> u")
+        return met.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct()
 
     def _rest(self, of: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """Pairs of different components, among the members of lists that hold several, which share a shingle early
@@ -185,7 +203,7 @@ class _Join:
         placed = self._posted().join(of.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         mixed = placed.groupBy("pair").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("pair")
         members = saved(placed.join(mixed, "pair").select("doc_id", F.col("n_shingles").alias("n"), "component").distinct())
-        words = members.join(self.hashes, "doc_id").select("doc_id", "n", "component", F.explode("hashes").alias("w"))
+        words = members.join(self.hashes.select("doc_id", "hashes"), "doc_id").select("doc_id", "n", "component", F.explode("hashes").alias("w"))
         often = words.groupBy("w").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
         ordered = words.join(often, "w").groupBy("doc_id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("words"))
         # shingles that no other member has come first: they need no posting, but have their places
@@ -195,24 +213,26 @@ class _Join:
         # asks, for partners no larger than itself that so much of itself can still satisfy
         most = F.least(F.col("n"), F.floor(F.col("left") * (100 + t) / t).cast("long") - F.col("n"))
         least = F.ceil(t * F.col("n") / 100).cast("long")
-        offers = at.where(F.col("left") * (100 + t) >= 2 * t * F.col("n")).select("w", _size_class(F.col("n")).alias("c"), F.lit(True).alias("offer"), "doc_id", "n", "component")
-        asks = at.where(most >= least).select("w", F.explode(F.sequence(_size_class(F.greatest(least, F.lit(1))), _size_class(most))).alias("c"), F.lit(False).alias("offer"), "doc_id", most.alias("n"), "component")
+        offers = at.where(F.col("left") * (100 + t) >= 2 * t * F.col("n")).select("w", _size_class(F.col("n")).alias("c"), F.lit(True).alias("offer"), "doc_id", "n", F.col("n").alias("most"), "component")
+        asks = at.where(most >= least).select("w", F.explode(F.sequence(_size_class(F.greatest(least, F.lit(1))), _size_class(most))).alias("c"), F.lit(False).alias("offer"), "doc_id", "n", most.alias("most"), "component")
         posts = saved(offers.union(asks))
         parts = posts.groupBy("w", "c", "component").agg(F.count(F.lit(1)).alias("m"), F.max("offer").alias("o"), F.max(~F.col("offer")).alias("a"))
         keys = parts.groupBy("w", "c").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.max("o").alias("o"), F.max("a").alias("a")).where("parts > 1 AND o AND a").select("w", "c", "main")
-        live = posts.join(keys, ["w", "c"]).withColumn("main", F.col("component") == F.col("main"))
+        live = posts.join(keys, ["w", "c"]).join(self.hashes.select("doc_id", "bits"), "doc_id").withColumn("main", F.col("component") == F.col("main"))
         # lane 0: offers beside the main component to all who ask; lane 1: its own offers to the others
-        one = live.where("offer").select("w", "c", F.col("main").cast("int").alias("lane"), F.col("doc_id").alias("x"), F.col("n").alias("size"), F.col("component").alias("cx"))
-        two = live.where("NOT offer").select("w", "c", F.explode(F.when(F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("lane"), F.col("doc_id").alias("y"), F.col("n").alias("most"), F.col("component").alias("cy"))
-        pairs = one.join(two, ["w", "c", "lane"]).where("size <= most AND cx <> cy").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        one = live.where("offer").select("w", "c", F.col("main").cast("int").alias("lane"), F.col("doc_id").alias("x"), F.col("n").alias("size"), F.col("component").alias("cx"), F.col("bits").alias("p"))
+        two = live.where("NOT offer").select("w", "c", F.explode(F.when(F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("lane"), F.col("doc_id").alias("y"), "n", "most", F.col("component").alias("cy"), F.col("bits").alias("q"))
+        pairs = one.join(two, ["w", "c", "lane"]).where("size <= most AND cx <> cy").where(_alike(t, "size", "n", "p", "q")).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
         return pairs, [members, posts]
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of pairs u, v those that agree in enough coordinates, and then on the full sets."""
-        side = self.docs.select("doc_id", "n_shingles", "pairs")
+        side, bits = self.docs.select("doc_id", "n_shingles", "pairs"), self.hashes.select("doc_id", "bits")
         near = pairs.join(side.toDF("u", "n", "p"), "u").join(side.toDF("v", "o", "q"), "v")
         near = near.where(100 * F.least("n", "o") >= self.percent * F.greatest("n", "o")).where(F.size(F.array_intersect("p", "q")) >= self.matches).select("u", "v", "n", "o")
-        full = near.join(self.hashes.toDF("v", "b"), "v").join(self.hashes.toDF("u", "a"), "u")
+        near = near.join(bits.toDF("u", "x"), "u").join(bits.toDF("v", "y"), "v").where(_alike(self.percent, "n", "o", "x", "y")).select("u", "v", "n", "o")
+        sets = self.hashes.select("doc_id", "hashes")
+        full = near.join(sets.toDF("v", "b"), "v").join(sets.toDF("u", "a"), "u")
         both = F.size(F.array_intersect("a", "b"))
         return saved(full.where(both * (100 + self.percent) >= self.percent * (F.col("n") + F.col("o"))).select("u", "v"))
 

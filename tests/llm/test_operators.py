@@ -567,6 +567,15 @@ def test_near_dedup_exact_step_alone(spark):
     assert wanted and wanted <= {(r.u, r.v) for r in got.collect()}
 
 
+def test_bitmaps_differ_no_more_than_sets():
+    g = np.random.default_rng(1)
+    for _ in range(300):
+        x = np.unique(g.integers(0, 1 << 63, int(g.integers(1, 900)), dtype=np.uint64))
+        y = np.union1d(x[g.random(len(x)) < g.random()], g.integers(0, 1 << 63, int(g.integers(0, 200)), dtype=np.uint64))
+        apart = sum(int(w).bit_count() for w in (minhash.bitmap(x) ^ minhash.bitmap(y)).view(np.uint64))
+        assert apart <= len(np.setxor1d(x, y))
+
+
 def test_near_dedup_repeated_ids_and_other_types(spark):
     w = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
     rows = [("k", " ".join(w)), ("k", "quite another text of more words than five"), ("b", " ".join(w)), ("z", "quite another text of more words than five"), (None, " ".join(w)), ("y", None), ("x", " ".join(w[:3]))]

@@ -432,23 +432,32 @@ def residual_tree(image: np.ndarray, offsets=None, saturated: bool = False, infi
 
 
 def extinction(h: Hierarchy, attribute: np.ndarray, top: dict[str, np.ndarray]) -> list[tuple[int, int, float, bool]]:
-    """(leaf, cutoff node, extinction, dominant): leaves in breadth-first order climb until a sibling wins, or a
-    sibling seen before ties. Sorted by extinction falling, cutoff, leaf."""
-    kids, seen = h.children(), np.zeros(len(h.parent), bool)
+    """(leaf, cutoff node, extinction, dominant). Leaves climb in breadth-first order. In each family of two or more
+    the climber's siblings are looked at in order, itself among them: a larger one ends the climb, and so does an equal one
+    that a climb has looked at before. All that were looked at up to there are remembered. Sorted by extinction
+    falling, cutoff, leaf."""
+    kids, seen = h.children(), set()
     leaves = sorted((n for n in range(len(kids)) if not kids[n]), key=lambda n: top["bfs"][n])
+
+    def beaten(node: int, family: list[int]) -> bool:
+        mine = attribute[node]
+        for s in family:
+            lost = s != node and (attribute[s] > mine or (attribute[s] == mine and s in seen))
+            seen.add(s)
+            if lost:
+                return True
+        return False
+
     out = []
     for leaf in leaves:
-        node, stop = leaf, False
-        while node != h.parent[node] and not stop:
-            up = int(h.parent[node])
-            for s in kids[up]:
-                if s != node:
-                    if (seen[s] and attribute[s] == attribute[node]) or attribute[s] > attribute[node]:
-                        stop = True
-                    seen[s] = True
-            if not stop:
-                node = up
-        out.append((leaf, node, float(attribute[node]) if stop else float(np.finfo(np.float64).max), not stop))
+        node, dominant = leaf, True
+        while node != h.parent[node]:
+            family = kids[int(h.parent[node])]
+            if len(family) > 1 and beaten(node, family):
+                dominant = False
+                break
+            node = int(h.parent[node])
+        out.append((leaf, node, float(np.finfo(np.float64).max) if dominant else float(attribute[node]), dominant))
     return sorted(out, key=lambda r: (-r[2], r[1], r[0]))
 
 
@@ -476,7 +485,7 @@ def ultimate_opening(h: Hierarchy, attribute: np.ndarray, most: float, selected:
     n = len(h.parent)
     selected = np.ones(n, bool) if selected is None else selected
     contrast, related = np.zeros(n), np.zeros(n, np.int64)
-    outside, carry = h.altitude.astype(float).copy(), np.zeros(n, bool)
+    outside, grown, counts = h.altitude.astype(float).copy(), np.zeros(n, bool), np.zeros(n, bool)
     order = np.argsort(top["pre"]).tolist()
     # the primitive of a node: the chain above it with one attribute value, and whether it holds a selected node
     head = np.arange(n)
@@ -489,17 +498,17 @@ def ultimate_opening(h: Hierarchy, attribute: np.ndarray, most: float, selected:
         p = int(h.parent[v])
         if p == v:
             continue
-        begins = attribute[v] != attribute[p]
+        # a primitive within the bound decides whether residues count from there down; the root's never counts
+        begins, small = head[v] == v, attribute[v] <= most
         outside[v] = h.altitude[p] if begins else outside[p]
-        if attribute[v] > most:
+        counts[v] = chosen[v] if begins and small else counts[p]
+        if not small:
             continue
-        rest = abs(float(h.altitude[v]) - outside[v]) if chosen[head[v]] else 0.0
-        if contrast[p] >= rest:
-            contrast[v], related[v] = contrast[p], related[p]
-        else:
-            contrast[v] = rest
-            related[v] = related[p] if carry[p] and not begins else int(attribute[v] + 1)
-            carry[v] = True
+        rest = abs(float(h.altitude[v]) - outside[v]) if counts[v] else 0.0
+        grown[v] = rest > contrast[p]
+        contrast[v] = max(rest, contrast[p])
+        # where the parent's contrast has just grown too, its attribute stays the one that is told
+        related[v] = int(attribute[v] + 1) if grown[v] and not grown[p] else related[p]
     return contrast, related
 
 

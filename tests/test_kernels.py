@@ -110,6 +110,82 @@ def test_flat_leaves_tie():
     assert [r[3] for r in got].count(True) == 1 and sorted(r[2] for r in got)[:2] == [1.0, 1.0]
 
 
+def test_two_equal_leaves_leave_one_dominant():
+    h = K.Hierarchy(np.array([2, 2, 2]), np.array([0, 1]), np.array([5, 5, 0]))
+    assert K.extinction(h, np.array([1.0, 1.0, 4.0]), K.topology(h)) == [(0, 2, float(np.finfo(np.float64).max), True), (1, 1, 1.0, False)]
+
+
+def random_trees(n=120):
+    rng = np.random.default_rng(21)
+    for _ in range(n):
+        h = K.component_tree(rng.integers(0, 6, (8, 8)), K.stencil(1.5), True)
+        area = np.bincount(h.owner, minlength=len(h.parent)).astype(float)
+        for v in np.argsort(K.topology(h)["post"]).tolist():
+            if h.parent[v] != v:
+                area[h.parent[v]] += area[v]
+        yield h, area, np.minimum(area, rng.integers(5, 40))  # the second has ties from the root down
+
+
+def test_extinction_on_random_trees():
+    for h, *attributes in random_trees():
+        for a in attributes:
+            t, kids = K.topology(h), h.children()
+            want, marked = {}, set()
+            for leaf in sorted((v for v in range(len(kids)) if not kids[v]), key=lambda v: t["bfs"][v]):
+                v = leaf
+                while h.parent[v] != v:
+                    family = kids[int(h.parent[v])] if len(kids[int(h.parent[v])]) > 1 else []
+                    stops = [i for i, s in enumerate(family) if s != v and (a[s] > a[v] or (a[s] == a[v] and s in marked))]
+                    marked.update(family[: stops[0] + 1] if stops else family)
+                    if stops:
+                        break
+                    v = int(h.parent[v])
+                want[leaf] = v
+            got = K.extinction(h, a, t)
+            assert {r[0]: r[1] for r in got} == want
+            assert all(r[3] == (r[1] == h.parent[r[1]]) and (r[3] or r[2] == a[r[1]]) for r in got) and any(r[3] for r in got)
+            # without ties there is one dominant leaf, and a larger extinction never ranks behind
+            assert [r[2] for r in got] == sorted((r[2] for r in got), reverse=True)
+
+
+def test_ultimate_opening_on_random_trees():
+    rng = np.random.default_rng(22)
+    for h, *attributes in random_trees(60):
+        for a in attributes:
+            most, chosen, kids = float(rng.integers(1, 60)), rng.random(len(h.parent)) < 0.7, h.children()
+            contrast, related = np.zeros(len(a)), np.zeros(len(a), np.int64)
+            root = next(v for v in range(len(a)) if h.parent[v] == v)
+
+            def holds(v):
+                return chosen[v] or any(holds(c) for c in kids[v] if a[c] == a[v])  # noqa: B023
+
+            todo = [(c, float(h.altitude[root]), False, False) for c in kids[root]]
+            while todo:
+                v, base, grew, counts = todo.pop()
+                p = int(h.parent[v])
+                if a[v] != a[p]:
+                    base = float(h.altitude[p])
+                    counts = holds(v) if a[v] <= most else counts
+                grows = False
+                if a[v] <= most:
+                    rest = abs(h.altitude[v] - base) * counts
+                    grows = rest > contrast[p]
+                    contrast[v] = rest if grows else contrast[p]
+                    related[v] = a[v] + 1 if grows and not grew else related[p]
+                todo += [(c, base, grows, counts) for c in kids[v]]
+            got = K.ultimate_opening(h, a, most, chosen, K.topology(h))
+            assert (got[0] == contrast).all() and (got[1] == related).all()
+
+
+def test_ultimate_opening_of_a_chain():
+    h = K.Hierarchy(np.array([1, 2, 3, 3]), np.array([0, 1, 2, 3]), np.array([9, 5, 4, 0]))
+    a = np.array([1.0, 2.0, 2.0, 4.0])
+    contrast, related = K.ultimate_opening(h, a, 3.0, None, K.topology(h))
+    assert contrast.tolist() == [5.0, 5.0, 4.0, 0.0] and related.tolist() == [3, 3, 3, 0]
+    flat = K.ultimate_opening(h, np.full(4, 2.0), 3.0, None, K.topology(h))
+    assert not flat[0].any() and not flat[1].any()
+
+
 def test_loops_of_a_ring():
     ring = {(r, c) for r in range(3) for c in range(3)} - {(1, 1)}
     areas = sorted(a for _, _, a in K.loops(ring))

@@ -269,11 +269,11 @@ _query("contour_deltas")(lambda s, d: C.contour_deltas(big(s, d)).drop("tree_id"
 
 # ---------------------------------------------------------------- edits, compact layout, other constructions
 
-_query("prune_node", WORLD + ", g AS (SELECT a.node_id, n1.parent_id AS t FROM anc a JOIN nodes n1 ON n1.node_id = a.anc WHERE n1.depth = 2 AND n1.node_id % 3 = 0) SELECT o.p AS pixel, coalesce(g.t, o.node_id) AS node_id FROM own o LEFT JOIN g USING (node_id)")(lambda s, d: (lambda t: E.prune(t, t.nodes.where("depth = 2 AND node_id % 3 = 0"), 3).owners.select("pixel", "node_id"))(world(s, d)))
-_query("merge_into_parent", WORLD + ", m AS (SELECT node_id, parent_id FROM nodes WHERE depth = 2 AND node_id % 3 = 0) SELECT n.node_id, coalesce(m.parent_id, n.parent_id) AS parent_id FROM nodes n LEFT JOIN m ON m.node_id = n.parent_id WHERE n.node_id NOT IN (SELECT node_id FROM m)")(lambda s, d: (lambda t: E.merge_into_parent(t, t.nodes.where("depth = 2 AND node_id % 3 = 0"), 3).nodes.select("node_id", "parent_id"))(world(s, d)))
+_query("prune_node", WORLD + ", g AS (SELECT a.node_id, n1.parent_id AS t FROM anc a JOIN nodes n1 ON n1.node_id = a.anc WHERE n1.depth = 2 AND n1.node_id % 3 = 0) SELECT o.p AS pixel, coalesce(g.t, o.node_id) AS node_id FROM own o LEFT JOIN g USING (node_id)")(lambda s, d: (lambda t: E.prune(t, t.nodes.where("depth = 2 AND node_id % 3 = 0")).owners.select("pixel", "node_id"))(world(s, d)))
+_query("merge_into_parent", WORLD + ", m AS (SELECT node_id, parent_id FROM nodes WHERE depth = 2 AND node_id % 3 = 0) SELECT n.node_id, coalesce(m.parent_id, n.parent_id) AS parent_id FROM nodes n LEFT JOIN m ON m.node_id = n.parent_id WHERE n.node_id NOT IN (SELECT node_id FROM m)")(lambda s, d: (lambda t: E.merge_into_parent(t, t.nodes.where("depth = 2 AND node_id % 3 = 0")).nodes.select("node_id", "parent_id"))(world(s, d)))
 _query("set_altitudes", WORLD + " SELECT node_id, altitude * 2 AS altitude FROM nodes")(lambda s, d: (lambda t: E.set_altitudes(t, t.nodes.select("tree_id", "node_id", (F.col("altitude") * 2).alias("altitude"))).nodes.select("node_id", "altitude"))(world(s, d)))
 _query("compact_export")(lambda s, d: E.export_compact(big(s, d)).select("vertex", "parent", "altitude"))
-_query("compact_roundtrip", MAX + " SELECT n.depth, n.altitude, ar.n AS area FROM nodes n JOIN area ar USING (node_id)")(lambda s, d: (lambda t: t.nodes.join(A.area(t), ["tree_id", "node_id"]).select("depth", "altitude", F.col("AREA").alias("area")))(E.import_compact(E.export_compact(big(s, d)).drop("node_id"), 256, 16, 8, "increasing")))
+_query("compact_roundtrip", MAX + " SELECT n.depth, n.altitude, ar.n AS area FROM nodes n JOIN area ar USING (node_id)")(lambda s, d: (lambda t: t.nodes.join(A.area(t), ["tree_id", "node_id"]).select("depth", "altitude", F.col("AREA").alias("area")))(E.import_compact(E.export_compact(big(s, d)).drop("node_id"), 256, 16, "increasing")))
 _query("compact_attributes", MAX + " SELECT CAST(n AS DOUBLE) AS area FROM area UNION ALL SELECT 1.0 FROM own")(_with_area(lambda t, a: E.project_compact(t, a, ["AREA"], A.unit_rows(["AREA"])).select(F.col("AREA").cast("double").alias("area"))))
 _EXACT = "WITH " + _PX.format(sign="1") + " SELECT p AS pixel, CAST({f} * v AS DOUBLE) AS value FROM px"
 _query("tree_of_shapes_reconstruct", _EXACT.format(f=2))(lambda s, d: X.reconstruct(P.tree_of_shapes(image(s, d))).select("pixel", "value"))

@@ -12,12 +12,12 @@ from silvagrid.plans.tree import Tree, from_native, validate
 KEYS = ["tree_id", "node_id"]
 
 
-def _again(tree: Tree, nodes: DataFrame, owners: DataFrame, levels: int) -> Tree:
-    out = from_native(nodes, owners, levels, tree.order, tree.grid)
+def _again(tree: Tree, nodes: DataFrame, owners: DataFrame) -> Tree:
+    out = from_native(nodes, owners, tree.order, tree.grid)
     return Tree(out.nodes, out.owners, tree.kind, tree.order, tree.offsets, tree.grid, tree.extra)
 
 
-def prune(tree: Tree, chosen: DataFrame, levels: int) -> Tree:
+def prune(tree: Tree, chosen: DataFrame) -> Tree:
     """Chosen nodes (tree_id, node_id) go with all below them; their pixels fall to the nearest node that stays."""
     cut = chosen.select("tree_id", F.col("node_id").alias("anc"), F.lit(True).alias("_c"))
     gone = tree.closure().join(cut, ["tree_id", "anc"]).where("anc_depth > 0").groupBy(*KEYS).agg(F.min("anc_depth").alias("_top"))
@@ -25,10 +25,10 @@ def prune(tree: Tree, chosen: DataFrame, levels: int) -> Tree:
     to = F.when(F.col("_top").isNull(), F.col("node_id")).otherwise(F.element_at("path", F.col("_top").cast("int")))
     moved = n.select(*KEYS, to.alias("_to"))
     owners = tree.owners.join(moved, KEYS).select("tree_id", "pixel", "row", "col", "value", F.col("_to").alias("node_id"))
-    return _again(tree, n.where("_top IS NULL").select("tree_id", "node_id", "parent_id", "altitude"), owners, levels)
+    return _again(tree, n.where("_top IS NULL").select("tree_id", "node_id", "parent_id", "altitude"), owners)
 
 
-def merge_into_parent(tree: Tree, chosen: DataFrame, levels: int) -> Tree:
+def merge_into_parent(tree: Tree, chosen: DataFrame) -> Tree:
     """Chosen nodes dissolve: their pixels and children go to the nearest ancestor that stays."""
     cut = chosen.select(*KEYS, F.lit(True).alias("_c"))
     n = tree.nodes.join(cut, KEYS, "left").withColumn("_c", F.coalesce("_c", F.lit(False)) & (F.col("node_id") != F.col("parent_id")))
@@ -38,7 +38,7 @@ def merge_into_parent(tree: Tree, chosen: DataFrame, levels: int) -> Tree:
     above = up.where("dist > 0").groupBy(*KEYS).agg(F.min_by("anc", "dist").alias("_up"))
     nodes = n.where("NOT _c").join(above, KEYS, "left").select("tree_id", "node_id", F.coalesce("_up", "node_id").alias("parent_id"), "altitude")
     owners = tree.owners.join(to, KEYS).select("tree_id", "pixel", "row", "col", "value", F.col("_to").alias("node_id"))
-    return _again(tree, nodes, owners, levels)
+    return _again(tree, nodes, owners)
 
 
 def set_altitudes(tree: Tree, values: DataFrame, column: str = "altitude") -> Tree:
@@ -59,21 +59,21 @@ def commit(tree: Tree) -> Tree:
 class Editor:
     """Staged edits as a chain of immutable trees."""
 
-    def __init__(self, tree: Tree, levels: int):
-        self.start, self.tree, self.levels = tree, tree, levels
+    def __init__(self, tree: Tree):
+        self.start, self.tree = tree, tree
 
     def _new(self, nodes: DataFrame | None = None, owners: DataFrame | None = None) -> Editor:
         n = self.tree.nodes if nodes is None else nodes
         o = self.tree.owners if owners is None else owners
-        self.tree = _again(self.tree, n.select("tree_id", "node_id", "parent_id", "altitude"), o, self.levels)
+        self.tree = _again(self.tree, n.select("tree_id", "node_id", "parent_id", "altitude"), o)
         return self
 
     def prune(self, chosen: DataFrame) -> Editor:
-        self.tree = prune(self.tree, chosen, self.levels)
+        self.tree = prune(self.tree, chosen)
         return self
 
     def merge_into_parent(self, chosen: DataFrame) -> Editor:
-        self.tree = merge_into_parent(self.tree, chosen, self.levels)
+        self.tree = merge_into_parent(self.tree, chosen)
         return self
 
     def reparent(self, moves: DataFrame) -> Editor:
@@ -135,13 +135,13 @@ def export_compact(tree: Tree) -> DataFrame:
     return units.unionByName(inner)
 
 
-def import_compact(rows: DataFrame, n_pixels: int, cols: int | None, levels: int, order: str = "unconstrained") -> Tree:
+def import_compact(rows: DataFrame, n_pixels: int, cols: int | None, order: str = "unconstrained") -> Tree:
     """From (tree_id, vertex, parent, altitude): node_id is vertex - n_pixels."""
     nodes = rows.where(F.col("vertex") >= n_pixels).select("tree_id", (F.col("vertex") - n_pixels).alias("node_id"), (F.col("parent") - n_pixels).alias("parent_id"), "altitude")
     owners = rows.where(F.col("vertex") < n_pixels).select("tree_id", F.col("vertex").alias("pixel"), (F.col("parent") - n_pixels).alias("node_id"), F.col("altitude").cast("double").alias("value"))
     if cols:
         owners = owners.withColumn("row", F.floor(F.col("pixel") / cols).cast("int")).withColumn("col", (F.col("pixel") % cols).cast("int"))
-    return from_native(nodes, owners, levels, order, cols is not None)
+    return from_native(nodes, owners, order, cols is not None)
 
 
 def project_compact(tree: Tree, values: DataFrame, columns: list[str], units: dict[str, float]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from silvagrid.kernels import trees as K
-from silvagrid.sources.shared import saved
+from silvagrid.sources.shared import dropped, saved
 
 NODE_COLUMNS = ("depth", "sibling", "pre", "size", "entry", "exit", "post", "bfs")
 _MADE = "tree_id string, tag string, id long, ref long, altitude double, value double, row int, col int, " + ", ".join(f"{c} long" for c in NODE_COLUMNS) + ", path array<long>"
@@ -146,18 +146,50 @@ def residual_tree(pixels: DataFrame, radius: float = 1.0, saturated: bool = Fals
     return _from_kernel(_images(pixels, lambda im: K.residual_tree(im, offsets, saturated, infinity)[0]), kind="residual", offsets=offsets)
 
 
-def from_native(nodes: DataFrame, owners: DataFrame, levels: int, order: str = "unconstrained", grid: bool = False) -> Tree:
+def _sound(base: DataFrame, owners: DataFrame) -> None:
+    """An error for what no hierarchy can hold, with some of the rows."""
+    one = lambda c: F.sum(F.col(c).cast("int"))
+    keys = ["tree_id", "node_id"]
+    trees = base.withColumn("root", F.col("node_id") == F.col("parent_id")).groupBy("tree_id").agg(one("root").alias("roots"))
+    up = base.select("tree_id", F.col("node_id").alias("parent_id"))
+    for what, rows in (
+        ("ids that are null or an altitude that isn't finite", base.where("tree_id IS NULL OR node_id IS NULL OR parent_id IS NULL OR altitude IS NULL OR isnan(altitude) OR abs(altitude) = double('Infinity')")),
+        ("repeated node ids", base.groupBy(*keys).count().where("count > 1")),
+        ("trees without just one root", trees.where("roots <> 1")),
+        ("parents that aren't there", base.join(up, ["tree_id", "parent_id"], "left_anti")),
+        ("pixels of nodes that aren't there", owners.join(base, keys, "left_anti")),
+    ):
+        if bad := rows.limit(3).collect():
+            raise ValueError(f"not a hierarchy: {what}: {bad}")
+
+
+def _paths(base: DataFrame) -> DataFrame:
+    """base with each node's path from the root. Paths double in each round: what is known of a node's way up is put
+    behind what is known of the node where it ends, so a chain of n nodes takes log2(n) rounds. A round in which no
+    node gets to its root shows a cycle."""
+    root = F.col("node_id") == F.col("parent_id")
+    now = saved(base.select("*", F.array("node_id").alias("path"), F.when(~root, F.col("parent_id")).alias("top")))
+    left = now.where("top IS NOT NULL").count()
+    while left:
+        above = now.select("tree_id", F.col("node_id").alias("top"), F.col("path").alias("_path"), F.col("top").alias("_top"))
+        done = now.where("top IS NULL")
+        grown = now.where("top IS NOT NULL").join(above, ["tree_id", "top"]).select(*base.columns, F.concat("_path", "path").alias("path"), F.col("_top").alias("top"))
+        after = saved(done.unionByName(grown))
+        dropped(now)
+        now, before = after, left
+        left = now.where("top IS NOT NULL").count()
+        if left >= before:
+            raise ValueError(f"not a hierarchy: nodes that no root is above: {[tuple(r)[:2] for r in now.where('top IS NOT NULL').limit(3).collect()]}")
+    return now.drop("top")
+
+
+def from_native(nodes: DataFrame, owners: DataFrame, order: str = "unconstrained", grid: bool = False) -> Tree:
     """A hierarchy that a table already holds: nodes (tree_id, node_id, parent_id, altitude), the root its own
-    parent, and owners (tree_id, pixel, node_id), with at most ``levels`` levels below the root. Paths come from
-    joins, level by level; ranks from sorting paths; no kernel."""
-    base = nodes.select("tree_id", "node_id", "parent_id", "altitude")
-    level = base.where("node_id = parent_id").select("tree_id", "node_id", F.array("node_id").alias("path"))
-    found = level
-    for _ in range(levels):
-        level = base.where("node_id <> parent_id").join(level.select("tree_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_up")), ["tree_id", "parent_id"]).select("tree_id", "node_id", F.array_append("_up", F.col("node_id")).alias("path"))
-        found = found.union(level)
-    # written: what is built on it would else repeat these joins, in the plan and in the work
-    n = saved(base.join(found, ["tree_id", "node_id"]))
+    parent, and owners (tree_id, pixel, node_id), of any depth. Paths come from joins, ranks from sorting paths; no
+    kernel. Missing parents, repeated ids, several roots, cycles and pixels of unknown nodes are errors."""
+    base, owners = saved(nodes.select("tree_id", "node_id", "parent_id", "altitude")), saved(owners)
+    _sound(base, owners)
+    n = _paths(base)
     kids = Window.partitionBy("tree_id", "parent_id", F.col("node_id") == F.col("parent_id")).orderBy("node_id")
     n = n.withColumn("depth", (F.size("path") - 1).cast("long")).withColumn("sibling", (F.row_number().over(kids) - 1).cast("long"))
     # children are in rising node_id, so pre-order is the order of paths, and post-order that of paths with an end mark
@@ -168,7 +200,7 @@ def from_native(nodes: DataFrame, owners: DataFrame, levels: int, order: str = "
     n = n.withColumn("entry", 2 * F.col("pre") - F.col("depth")).withColumn("exit", F.col("entry") + 2 * F.col("size") - 1).withColumn("post", F.col("pre") + F.col("size") - 1 - F.col("depth"))
     n = n.withColumn("bfs", (F.row_number().over(order_by.orderBy("depth", "path")) - 1).cast("long"))
     n = saved(n)
-    p = saved(owners)
+    p = owners
     for c, t in (("row", "int"), ("col", "int"), ("value", "double")):
         if c not in p.columns:
             p = p.withColumn(c, F.lit(None).cast(t))

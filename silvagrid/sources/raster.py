@@ -73,4 +73,4 @@ def customer_hierarchy(spark: SparkSession, sf_dir: str) -> Tree:
     nodes = nodes.union(node(region, F.col("r_regionkey") + 1, F.lit(0), F.col("r_regionkey") + 10))
     nodes = nodes.union(node(nation, F.col("n_nationkey") + 100, F.col("n_regionkey") + 1, F.col("n_nationkey") + 100))
     nodes = nodes.union(node(customer, F.col("c_custkey") + 1000, F.col("c_nationkey") + 100, F.col("c_custkey") % 50 + 1000))
-    return from_native(nodes, orders.select(F.lit("world").alias("tree_id"), "pixel", "node_id"), 3, "increasing")
+    return from_native(nodes, orders.select(F.lit("world").alias("tree_id"), "pixel", "node_id"), "increasing")

@@ -340,9 +340,11 @@ def test_language_sample_is_of_distinct_texts_and_filled(spark):
     assert sum(c in "uvwxyz" for c in whole["late"]) > 2000
 
 
-def test_embedding_links_near_the_threshold_over_many_lists(spark, monkeypatch):
-    """500 lists, most vectors not in the sample: nearly all links between 0.9 and 0.91 are found."""
+@pytest.mark.parametrize("most", [2048, 24])
+def test_embedding_links_near_the_threshold_over_many_lists(spark, monkeypatch, most):
+    """500 lists, or 24 with finer ones each; most vectors not in the sample: nearly all links from 0.9 to 0.91 are found."""
     monkeypatch.setattr(embedding_dedup, "LIST_VECTORS", 8)
+    monkeypatch.setattr(embedding_dedup, "MOST_LISTS", most)
     monkeypatch.setattr(embedding_dedup, "SAMPLE", 1024)
     g = np.random.default_rng(5)
     x = g.normal(size=(2000, 64))
@@ -380,6 +382,14 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_several_lengths_in_double_precision(spark):
+    """Each length among its own; a link that doubles decide (0.9 and a hair less) is not rounded."""
+    t = float(np.sqrt(1 - 0.9**2))
+    rows = [(1, [1.0, 0.0]), (2, [0.9 + 1e-12, t]), (3, [0.9 - 1e-9, -t]), (4, [1.0, 0.0, 0.0]), (5, [2.0, 0.0, 0.0]), (6, [1.0] * 4), (7, [1e300, 0.0]), (8, [0.0, 1e-300, 0.0])]
+    got = table(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "vec_id")
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (2, 1), 8: (0, 8)}
+
+
 def test_line_dedup(docs):
     got = table(line_dedup.deduplicated(docs))
     first, want = {}, {}

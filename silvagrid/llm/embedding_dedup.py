@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from silvagrid.llm.common import components, saved, table
+from silvagrid.llm.common import components, joined_small, saved, table
 
 SAMPLE, MARGIN, SUBSPACES, CODEWORDS, MOST_LISTS, MOST_FINE = 8192, 3.0, 8, 32, 2048, 32
 #: A list for about so many vectors; a centroid of its own for a crowd of so many in the sample.
@@ -164,10 +164,19 @@ def _vectors(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return saved(rows.select(F.col(vec_id).alias("vec_id"), e.cast("array<double>").alias("embedding")).mapInPandas(run, f"vec_id {kind}, dims int, x binary"))
 
 
-def _blocks_of(sides: DataFrame) -> dict[tuple[str, int], tuple[int, int]]:
-    """Into how many pieces the entries and the queries of each part of a list are cut (a few numbers a list)."""
-    counts = sides.groupBy("part", "list").agg(F.sum(F.col("entry").cast("long")).alias("e"), F.sum((~F.col("entry")).cast("long")).alias("q")).collect()
-    return {(r.part, r.list): (max(1, math.ceil(r.e / BLOCK_ENTRIES)), max(1, math.ceil(r.q / BLOCK_QUERIES))) for r in counts if r.e and r.q}
+def _dealt(sides: DataFrame) -> DataFrame:
+    """Each entry to the query pieces of its part of the list, each query to the entry pieces; (part, list, e, q) is
+    a block. Lists without entries or without queries have none."""
+    entries, queries = F.sum(F.col("entry").cast("long")), F.sum((~F.col("entry")).cast("long"))
+    pieces = saved(
+        sides.groupBy("part", "list").agg(F.ceil(entries / BLOCK_ENTRIES).alias("es"), F.ceil(queries / BLOCK_QUERIES).alias("qs")).where("es > 0 AND qs > 0")
+    )
+    held = joined_small(sides.drop("core"), pieces, ["part", "list"], "inner", pieces.count())
+    own = F.pmod(F.xxhash64("vec_id"), F.when(F.col("entry"), F.col("es")).otherwise(F.col("qs"))).cast("int").alias("own")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("entry"), F.col("qs")).otherwise(F.col("es")).cast("int") - 1)).alias("other")
+    cut = held.select("part", "list", "entry", "vec_id", "x", "code", "left", own, other)
+    e, q = F.when(F.col("entry"), F.col("own")).otherwise(F.col("other")), F.when(F.col("entry"), F.col("other")).otherwise(F.col("own"))
+    return cut.select("part", "list", "entry", "vec_id", "x", "code", "left", e.alias("e"), q.alias("q"))
 
 
 def links_of(vectors: DataFrame, dims: int, least: float = 0.9, probes: int | None = None):
@@ -217,22 +226,6 @@ def links_of(vectors: DataFrame, dims: int, least: float = 0.9, probes: int | No
     core_counts = inside.select("vec_id", F.col("n").alias("n_links")).union(at_home.select("vec_id", F.lit(-1).cast("long")))
     core_edges = inside.select(F.col("first").alias("u"), F.col("vec_id").alias("v"))
 
-    pieces = _blocks_of(made)
-    if not pieces:
-        return core_counts, core_edges
-    cut = spark.sparkContext.broadcast(pieces)
-
-    def dealt(frames):
-        """Each entry to the query pieces of its part of the list, each query to the entry pieces."""
-        for f in frames:
-            for (part, which, entry), g in f.groupby(["part", "list", "entry"]):
-                if (part, which) not in cut.value:
-                    continue
-                e, q = cut.value[part, which]
-                own = pd.util.hash_array(g["vec_id"].to_numpy()) % np.uint64(e if entry else q)
-                for other in range(q if entry else e):
-                    yield g.assign(e=own.astype(np.int32) if entry else np.int32(other), q=np.int32(other) if entry else own.astype(np.int32)).drop(columns="core")
-
     def block(frame: pd.DataFrame) -> pd.DataFrame:
         ix = shipped.value
         e, q = frame[frame["entry"]], frame[~frame["entry"]]
@@ -270,8 +263,7 @@ def links_of(vectors: DataFrame, dims: int, least: float = 0.9, probes: int | No
         some = count > 0
         return pd.concat([edges, pd.DataFrame({"u": idq[some], "v": idq[some], "n": count[some]})]).astype("int64")
 
-    schema = "part string, list int, entry boolean, vec_id long, x binary, code binary, left double, e int, q int"
-    found = saved(made.mapInPandas(dealt, schema).groupBy("part", "list", "e", "q").applyInPandas(block, "u long, v long, n long"))
+    found = saved(_dealt(made).groupBy("part", "list", "e", "q").applyInPandas(block, "u long, v long, n long"))
     counts = core_counts.union(found.where("n > 0").select(F.col("u").alias("vec_id"), F.col("n").alias("n_links")))
     edges = core_edges.union(found.where("n = 0").select("u", "v")).where("u <> v")
     return counts, edges

@@ -197,6 +197,7 @@ _query("contour_trace_edges", MAX + f" SELECT a.node_id, a.p AS pixel, ['NORTH',
 _QUADS = MAX + """, cell AS (SELECT x.node_id, x.r + k.dr AS cr, x.c + k.dc AS cc, sum(k.bit) AS code FROM sup x CROSS JOIN (VALUES (8, 0, 0), (4, 0, 1), (2, 1, 0), (1, 1, 1)) k(bit, dr, dc) GROUP BY 1, 2, 3),
 q AS (SELECT node_id, count(*) FILTER (bit_count(code) = 1) AS q1, count(*) FILTER (bit_count(code) = 2 AND code NOT IN (6, 9)) AS q2, count(*) FILTER (code IN (6, 9)) AS qd, count(*) FILTER (bit_count(code) = 3) AS q3, count(*) FILTER (bit_count(code) = 4) AS q4 FROM (SELECT node_id, CAST(code AS INTEGER) AS code FROM cell) GROUP BY 1)"""
 _query("bitquad_counts", _QUADS + " SELECT node_id, CAST(q1 AS DOUBLE) AS q1, CAST(q2 AS DOUBLE) AS q2, CAST(qd AS DOUBLE) AS qd, CAST(q3 AS DOUBLE) AS q3, CAST(q4 AS DOUBLE) AS q4 FROM q")(lambda s, d: _round(A.bitquad_counts(big(s, d)), "node_id"))
+_query("bitquad_histogram", _QUADS + " SELECT node_id, CAST(289 - count(*) AS DOUBLE) AS h0, " + ", ".join(f"CAST(count(*) FILTER (code = {k}) AS DOUBLE) AS h{k}" for k in range(1, 16)) + " FROM cell GROUP BY 1")(lambda s, d: _round(A.bitquad_histogram(big(s, d)), "node_id"))
 _query("bitquad_scalars", _QUADS + ", v AS (SELECT *, q1 / 4 + q2 / 2 + q3 * 7 / 8 + q4 + qd * 3 / 4 AS ar, q2 + (q1 + q3) / 1.5 AS pc, trunc(-q3 / 4) AS eu FROM q) SELECT node_id, round(ar, 6) AS bitquad_area, CAST(eu AS DOUBLE) + 0.0 AS bitquad_number_euler, CAST(1 - eu AS DOUBLE) AS bitquad_number_holes, CAST(q1 + q2 + q3 + 2 * qd AS DOUBLE) AS bitquad_perimeter, round(pc, 6) AS bitquad_perimeter_continuous, round(4 * pi() * ar / (pc * pc), 6) AS bitquad_circularity, round(2 * ar / pc, 6) AS bitquad_width_average FROM v")(
     lambda s, d: _round(A.bitquad(big(s, d)).drop("BITQUAD_PERIMETER_AVERAGE", "BITQUAD_LENGTH_AVERAGE").withColumn("BITQUAD_NUMBER_EULER", F.col("BITQUAD_NUMBER_EULER") + 0.0), "node_id")
 )
@@ -265,14 +266,18 @@ _query("watershed_saliency")(_with_area(lambda t, a: S.watershed_saliency(t, X.e
 _query("monotone_projection")(_with_area(lambda t, a: S.monotone_projection(t, X.extinction_attribute(t, X.extinction(t, a, "AREA")), ranked=True).drop("tree_id")))
 _query("shape_space_saliency")(_with_area(lambda t, a: S.shape_space_saliency(t, a, "AREA").drop("tree_id")))
 _query("contour_loops")(lambda s, d: C.loops(big(s, d), 16).drop("tree_id"))
-_query("contour_deltas")(lambda s, d: C.contour_deltas(big(s, d)).drop("tree_id"))
+_query("contour_deltas", MAX + f""", ct AS (SELECT DISTINCT a.node_id, a.p FROM sup a CROSS JOIN {_SIDES} LEFT JOIN sup b ON b.node_id = a.node_id AND b.r = a.r + s.dr AND b.c = a.c + s.dc WHERE b.p IS NULL),
+ch AS (SELECT node_id, p, 1 AS d FROM ct UNION ALL SELECT n.parent_id, ct.p, -1 FROM ct JOIN nodes n USING (node_id) WHERE n.node_id <> n.parent_id) SELECT node_id, p AS pixel, CAST(sum(d) AS BIGINT) AS delta FROM ch GROUP BY 1, 2 HAVING sum(d) <> 0""")(lambda s, d: C.contour_deltas(big(s, d)).drop("tree_id"))
 
 # ---------------------------------------------------------------- edits, compact layout, other constructions
 
 _query("prune_node", WORLD + ", g AS (SELECT a.node_id, n1.parent_id AS t FROM anc a JOIN nodes n1 ON n1.node_id = a.anc WHERE n1.depth = 2 AND n1.node_id % 3 = 0) SELECT o.p AS pixel, coalesce(g.t, o.node_id) AS node_id FROM own o LEFT JOIN g USING (node_id)")(lambda s, d: (lambda t: E.prune(t, t.nodes.where("depth = 2 AND node_id % 3 = 0")).owners.select("pixel", "node_id"))(world(s, d)))
 _query("merge_into_parent", WORLD + ", m AS (SELECT node_id, parent_id FROM nodes WHERE depth = 2 AND node_id % 3 = 0) SELECT n.node_id, coalesce(m.parent_id, n.parent_id) AS parent_id FROM nodes n LEFT JOIN m ON m.node_id = n.parent_id WHERE n.node_id NOT IN (SELECT node_id FROM m)")(lambda s, d: (lambda t: E.merge_into_parent(t, t.nodes.where("depth = 2 AND node_id % 3 = 0")).nodes.select("node_id", "parent_id"))(world(s, d)))
 _query("set_altitudes", WORLD + " SELECT node_id, altitude * 2 AS altitude FROM nodes")(lambda s, d: (lambda t: E.set_altitudes(t, t.nodes.select("tree_id", "node_id", (F.col("altitude") * 2).alias("altitude"))).nodes.select("node_id", "altitude"))(world(s, d)))
-_query("compact_export")(lambda s, d: E.export_compact(big(s, d)).select("vertex", "parent", "altitude"))
+_query("compact_export", MAX + """, way AS (SELECT node_id, list(anc ORDER BY anc_depth) AS way FROM anc GROUP BY 1), sz AS (SELECT anc AS node_id, count(*) AS size FROM anc GROUP BY 1),
+po AS (SELECT n.node_id, n.parent_id, n.altitude, row_number() OVER (ORDER BY way.way) - 1 + sz.size - 1 - n.depth AS post FROM nodes n JOIN way USING (node_id) JOIN sz USING (node_id)),
+vx AS (SELECT *, row_number() OVER (ORDER BY altitude DESC, post) - 1 + 256 AS vertex FROM po)
+SELECT a.vertex, b.vertex AS parent, a.altitude FROM vx a JOIN vx b ON b.node_id = a.parent_id UNION ALL SELECT own.p, vx.vertex, vx.altitude FROM own JOIN vx USING (node_id)""")(lambda s, d: E.export_compact(big(s, d)).select("vertex", "parent", "altitude"))
 _query("compact_roundtrip", MAX + " SELECT n.depth, n.altitude, ar.n AS area FROM nodes n JOIN area ar USING (node_id)")(lambda s, d: (lambda t: t.nodes.join(A.area(t), ["tree_id", "node_id"]).select("depth", "altitude", F.col("AREA").alias("area")))(E.import_compact(E.export_compact(big(s, d)).drop("node_id"), 256, 16, "increasing")))
 _query("compact_attributes", MAX + " SELECT CAST(n AS DOUBLE) AS area FROM area UNION ALL SELECT 1.0 FROM own")(_with_area(lambda t, a: E.project_compact(t, a, ["AREA"], A.unit_rows(["AREA"])).select(F.col("AREA").cast("double").alias("area"))))
 _EXACT = "WITH " + _PX.format(sign="1") + " SELECT p AS pixel, CAST({f} * v AS DOUBLE) AS value FROM px"

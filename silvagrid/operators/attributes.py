@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from silvagrid.functions.scalar import safe_divide, safe_sqrt, truncated
 from silvagrid.kernels import trees as K
-from silvagrid.operators.topology import lowest_common
+from silvagrid.operators.topology import lowest_common, with_parent
 from silvagrid.plans.tree import Tree
 
 KEYS = ["tree_id", "node_id"]
@@ -153,9 +153,10 @@ def contour(tree: Tree) -> DataFrame:
     return s.select(*KEYS, *cols, sum((F.col(c) for c in cols[1:]), F.col(cols[0])).alias("CONTOUR_PERIMETER"), "CONTOUR_PIXELS")
 
 
-def bitquad_counts(tree: Tree) -> DataFrame:
-    """q1, q2, qd, q3, q4 of each support: 2x2 cells of the framed image by what of them a node holds. A cell
-    counts for the ancestors of its pixels' owners; equal sets of owners are counted once, with their number."""
+def _bitquad_states(tree: Tree) -> DataFrame:
+    """(tree_id, node_id, code, n): 2x2 cells of the framed image by what of them a node holds (1 top left, 2 top
+    right, 4 bottom left, 8 bottom right). A cell counts for the ancestors of its pixels' owners; equal sets of owners
+    are counted once, with their number."""
     tree.require(grid=True)
     p = tree.owners.select("tree_id", "row", "col", "node_id")
     corners = F.array(*(F.struct(F.lit(bit).alias("bit"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for bit, dr, dc in ((8, 0, 0), (4, 0, 1), (2, 1, 0), (1, 1, 1))))
@@ -163,18 +164,49 @@ def bitquad_counts(tree: Tree) -> DataFrame:
     cells = c.groupBy("tree_id", "cr", "cc").agg(F.sort_array(F.collect_list(F.struct("bit", "node_id"))).alias("who")).groupBy("tree_id", "who").agg(F.count(F.lit(1)).alias("n"))
     cells = cells.withColumn("cell", F.xxhash64("who"))
     rows = cells.select("tree_id", "who", "n", F.explode("who").alias("k")).join(tree.nodes.select("tree_id", F.col("node_id").alias("_n"), "path"), (cells.tree_id == tree.nodes.tree_id) & (F.col("k.node_id") == F.col("_n"))).drop(tree.nodes.tree_id)
-    states = rows.select("tree_id", "who", "n", "k.bit", F.explode("path").alias("node_id")).groupBy("tree_id", "who", "n", "node_id").agg(F.sum("bit").alias("code"))
+    return rows.select("tree_id", "who", "n", "k.bit", F.explode("path").alias("node_id")).groupBy("tree_id", "who", "n", "node_id").agg(F.sum("bit").alias("code"))
+
+
+def bitquad_histogram(tree: Tree) -> DataFrame:
+    """h0 .. h15: the framed image's 2x2 cells in each state of a node's support; h0 is what the others leave."""
+    bins = [F.sum(F.when(F.col("code") == k, F.col("n")).otherwise(0)).alias(f"h{k}") for k in range(1, 16)]
+    held = _bitquad_states(tree).groupBy(*KEYS).agg(F.sum("n").alias("_all"), *bins)
+    size = tree.owners.groupBy("tree_id").agg(((F.max("row") + 2) * (F.max("col") + 2)).cast("long").alias("_cells"))
+    return held.join(size, "tree_id").select(*KEYS, (F.col("_cells") - F.col("_all")).alias("h0"), *(f"h{k}" for k in range(1, 16)))
+
+
+def bitquad_counts(tree: Tree) -> DataFrame:
+    """q1, q2, qd, q3, q4 of each support: the states by the number of pixels, diagonals apart."""
+    states = _bitquad_states(tree)
     bits = F.bit_count("code")
     diagonal = F.col("code").isin(6, 9)
     count = lambda cond, name: F.sum(F.when(cond, F.col("n")).otherwise(0)).alias(name)
     return states.groupBy(*KEYS).agg(count(bits == 1, "q1"), count((bits == 2) & ~diagonal, "q2"), count(diagonal, "qd"), count(bits == 3, "q3"), count(bits == 4, "q4"))
 
 
-def bitquad(tree: Tree, eight: bool = True) -> DataFrame:
-    b = bitquad_counts(tree)
+def _eight(tree: Tree) -> DataFrame | bool:
+    """Whether supports hang together over corners too: as the tree was built; in a tree of shapes by polarity, and
+    over corners at a root whose shapes differ. As rows (tree_id, node_id, eight) where nodes differ."""
+    if tree.kind == "shapes":
+        lower, upper = {"min4max8": (False, True), "min8max4": (True, False)}.get(tree.extra.get("immersion"), (False, False))
+        if lower == upper:
+            return lower
+        up = F.col("altitude") > F.col("parent_altitude")
+        root = F.col("node_id") == F.col("parent_id")
+        return with_parent(tree, "altitude").select(*KEYS, F.when(root, True).when(up, F.lit(upper)).otherwise(F.lit(lower)).alias("eight"))
+    for radius, eight in ((1.0, False), (1.5, True)):
+        if tree.offsets is not None and set(map(tuple, tree.offsets)) == set(K.stencil(radius)):
+            return eight
+    raise ValueError("bitquad attributes need a tree of 4- or 8-connected pixels, or a choice of eight")
+
+
+def bitquad(tree: Tree, eight: bool | None = None) -> DataFrame:
+    """Scalars of the bitquad counts. ``eight`` sets the connectivity; None takes it from how the tree was built."""
+    b, how = bitquad_counts(tree), _eight(tree) if eight is None else eight
+    b, eight = (b.withColumn("eight", F.lit(how)), F.col("eight")) if isinstance(how, bool) else (b.join(how, KEYS), F.col("eight"))
     q1, q2, qd, q3, q4 = (F.col(c).cast("double") for c in ("q1", "q2", "qd", "q3", "q4"))
     zero = F.lit(0.0)
-    c14, c1, cd = (zero, q1, qd) if eight else (q1 + 2 * qd, zero, zero)
+    c14, c1, cd = (F.when(eight, a).otherwise(b) for a, b in ((zero, q1 + 2 * qd), (q1, zero), (qd, zero)))
     euler = truncated((c14 - q3) / 4).cast("double")
     area_, per, cont = c1 / 4 + q2 / 2 + q3 * 7 / 8 + q4 + cd * 3 / 4, c1 + q2 + q3 + 2 * cd, q2 + (c1 + q3) / 1.5
     return b.select(

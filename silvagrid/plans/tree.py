@@ -125,14 +125,25 @@ def _images(pixels: DataFrame, build) -> DataFrame:
     return pixels.groupBy("image_id").applyInPandas(run, _MADE)
 
 
+def _linked(build, offsets):
+    """build, for images whose pixels the offsets join into one."""
+
+    def run(image):
+        if not K.connects(offsets, *image.shape):
+            raise ValueError("the structuring element doesn't connect the image")
+        return build(image)
+
+    return run
+
+
 def max_tree(pixels: DataFrame, radius: float = 1.5, offsets=None) -> Tree:
     offsets = K.checked_stencil(offsets) if offsets else K.stencil(radius)
-    return _from_kernel(_images(pixels, lambda im: K.component_tree(im, offsets, True)), kind="max", order="increasing", offsets=offsets)
+    return _from_kernel(_images(pixels, _linked(lambda im: K.component_tree(im, offsets, True), offsets)), kind="max", order="increasing", offsets=offsets)
 
 
 def min_tree(pixels: DataFrame, radius: float = 1.5, offsets=None) -> Tree:
     offsets = K.checked_stencil(offsets) if offsets else K.stencil(radius)
-    return _from_kernel(_images(pixels, lambda im: K.component_tree(im, offsets, False)), kind="min", order="decreasing", offsets=offsets)
+    return _from_kernel(_images(pixels, _linked(lambda im: K.component_tree(im, offsets, False), offsets)), kind="min", order="decreasing", offsets=offsets)
 
 
 def tree_of_shapes(pixels: DataFrame, immersion: str = "selfdual", exterior: bool = True, infinity: int = 0) -> Tree:
@@ -143,7 +154,7 @@ def tree_of_shapes(pixels: DataFrame, immersion: str = "selfdual", exterior: boo
 
 def residual_tree(pixels: DataFrame, radius: float = 1.0, saturated: bool = False, infinity: int = 0, offsets=None) -> Tree:
     offsets = K.checked_stencil(offsets) if offsets else K.stencil(radius)
-    return _from_kernel(_images(pixels, lambda im: K.residual_tree(im, offsets, saturated, infinity)[0]), kind="residual", offsets=offsets)
+    return _from_kernel(_images(pixels, _linked(lambda im: K.residual_tree(im, offsets, saturated, infinity)[0], offsets)), kind="residual", offsets=offsets)
 
 
 def _sound(base: DataFrame, owners: DataFrame) -> None:

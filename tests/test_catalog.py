@@ -10,7 +10,7 @@ import pytest
 from silvagrid import catalog
 
 DATA = "/root/testdata/sf0.01"
-NAMES = ["raster", "max_tree", "min_tree_owners", "forward_edges", "area", "contour_sides", "bitquad_counts", "pruning_min", "subtractive_filter", "saliency_ranked", "residual_saturated_reconstruct"]
+NAMES = ["raster", "max_tree", "min_tree_owners", "forward_edges", "area", "contour_sides", "bitquad_counts", "bitquad_histogram", "bitquad_scalars", "contour_deltas", "compact_export", "pruning_min", "subtractive_filter", "saliency_ranked", "residual_saturated_reconstruct"]
 
 
 @pytest.fixture(scope="module")

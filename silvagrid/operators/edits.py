@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silvagrid.kernels import trees as K
-from silvagrid.plans.tree import Tree, from_native, validate
+from silvagrid.plans.tree import Tree, _paths, from_native, validate
+from silvagrid.sources.shared import saved
 
 KEYS = ["tree_id", "node_id"]
 
@@ -57,49 +58,118 @@ def commit(tree: Tree) -> Tree:
 
 
 class Editor:
-    """Staged edits as a chain of immutable trees."""
+    """Staged edits over immutable tables. In between, nodes may be detached (they have no parent, and keep what is
+    below them), so only commit() asks for a whole tree; prune() and merge_into_parent() need one as well."""
 
     def __init__(self, tree: Tree):
-        self.start, self.tree = tree, tree
+        self.start = tree
+        self.rollback()
 
-    def _new(self, nodes: DataFrame | None = None, owners: DataFrame | None = None) -> Editor:
-        n = self.tree.nodes if nodes is None else nodes
-        o = self.tree.owners if owners is None else owners
-        self.tree = _again(self.tree, n.select("tree_id", "node_id", "parent_id", "altitude"), o)
+    def rollback(self) -> Tree:
+        self.nodes = self.start.nodes.select(*KEYS, "parent_id", "altitude")
+        self.owners = self.start.owners
+        return self.start
+
+    def _whole(self) -> Tree:
+        return _again(self.start, self.nodes, self.owners)
+
+    def _take(self, tree: Tree) -> Editor:
+        self.nodes, self.owners = tree.nodes.select(*KEYS, "parent_id", "altitude"), tree.owners
         return self
 
-    def prune(self, chosen: DataFrame) -> Editor:
-        self.tree = prune(self.tree, chosen)
+    def _parents(self, moves: DataFrame, parent: Column) -> Editor:
+        """New parents for the nodes that moves names, by node_id or by parent_id."""
+        n = self.nodes.join(moves.withColumn("_hit", F.lit(True)), [c for c in moves.columns if c in self.nodes.columns], "left")
+        self.nodes = saved(n.select(*KEYS, F.when(F.col("_hit"), parent).otherwise(F.col("parent_id")).alias("parent_id"), "altitude"))
         return self
 
+    def _detached(self, chosen: DataFrame) -> None:
+        if bad := chosen.join(self.nodes.where("parent_id IS NULL"), KEYS, "left_anti").limit(3).collect():
+            raise ValueError(f"not detached nodes: {bad}")
+
+    def prune(self, chosen: DataFrame) -> Editor:
+        return self._take(prune(self._whole(), chosen))
+
     def merge_into_parent(self, chosen: DataFrame) -> Editor:
-        self.tree = merge_into_parent(self.tree, chosen)
-        return self
+        return self._take(merge_into_parent(self._whole(), chosen))
 
     def reparent(self, moves: DataFrame) -> Editor:
-        """moves: tree_id, node_id, new_parent."""
-        n = self.tree.nodes.join(moves, KEYS, "left")
-        return self._new(n.withColumn("parent_id", F.coalesce("new_parent", "parent_id")))
+        """moves: tree_id, node_id, new_parent; a cycle is an error."""
+        self._parents(moves.select(*KEYS, "new_parent"), F.col("new_parent"))
+        _paths(self.nodes.withColumn("parent_id", F.coalesce("parent_id", "node_id")))
+        return self
+
+    def detach(self, chosen: DataFrame) -> Editor:
+        """chosen: tree_id, node_id; no roots."""
+        if bad := self.nodes.join(chosen.select(*KEYS), KEYS, "left_semi").where("node_id = parent_id").limit(3).collect():
+            raise ValueError(f"a root can't be detached: {bad}")
+        return self._parents(chosen.select(*KEYS), F.lit(None).cast("long"))
+
+    def attach(self, moves: DataFrame) -> Editor:
+        """moves: tree_id, node_id (detached), new_parent."""
+        self._detached(moves.select(*KEYS))
+        return self.reparent(moves)
+
+    def move_children(self, moves: DataFrame) -> Editor:
+        """moves: tree_id, source, target; the children of source go under target, but for target itself. Cycles show at
+        commit()."""
+        staying = (F.col("node_id") == F.col("target")) | (F.col("node_id") == F.col("parent_id"))
+        return self._parents(moves.select("tree_id", F.col("source").alias("parent_id"), "target"), F.when(staying, F.col("parent_id")).otherwise(F.col("target")))
 
     def move_pixels(self, moves: DataFrame) -> Editor:
         """moves: tree_id, pixel, new_node."""
-        o = self.tree.owners.join(moves, ["tree_id", "pixel"], "left")
-        return self._new(owners=o.withColumn("node_id", F.coalesce("new_node", "node_id")).drop("new_node"))
+        o = self.owners.join(moves.select("tree_id", "pixel", "new_node"), ["tree_id", "pixel"], "left")
+        self.owners = saved(o.withColumn("node_id", F.coalesce("new_node", "node_id")).drop("new_node"))
+        return self
+
+    def merge_proper_parts(self, moves: DataFrame) -> Editor:
+        """moves: tree_id, source, target; all pixels that source owns itself go to target."""
+        to = moves.select("tree_id", F.col("source").alias("node_id"), "target")
+        self.owners = saved(self.owners.join(to, KEYS, "left").withColumn("node_id", F.coalesce("target", "node_id")).select(*self.owners.columns))
+        return self
 
     def create(self, new: DataFrame) -> Editor:
         """new: tree_id, node_id, parent_id, altitude; pixels or children must follow before commit()."""
-        return self._new(self.tree.nodes.select("tree_id", "node_id", "parent_id", "altitude").union(new.select("tree_id", "node_id", "parent_id", F.col("altitude").cast("double"))))
+        self.nodes = saved(self.nodes.unionByName(new.select(*KEYS, F.col("parent_id").cast("long").alias("parent_id"), F.col("altitude").cast("double").alias("altitude"))))
+        return self
 
-    def set_altitudes(self, values: DataFrame) -> Editor:
-        self.tree = set_altitudes(self.tree, values)
+    def create_detached(self, new: DataFrame) -> Editor:
+        """new: tree_id, node_id, altitude."""
+        return self.create(new.withColumn("parent_id", F.lit(None)))
+
+    def release(self, chosen: DataFrame) -> Editor:
+        """chosen: tree_id, node_id; detached nodes without pixels or children go."""
+        own = chosen.select(*KEYS)
+        self._detached(own)
+        below = self.nodes.select("tree_id", F.col("parent_id").alias("node_id"))
+        if bad := own.join(below.union(self.owners.select(*KEYS)), KEYS, "left_semi").limit(3).collect():
+            raise ValueError(f"nodes that hold pixels or children: {bad}")
+        self.nodes = saved(self.nodes.join(own, KEYS, "left_anti"))
         return self
 
-    def rollback(self) -> Tree:
-        self.tree = self.start
-        return self.tree
+    def remove_children(self, chosen: DataFrame, release: bool = False) -> Editor:
+        """chosen: tree_id, node_id; detached and, if asked for, released."""
+        self.detach(chosen)
+        return self.release(chosen) if release else self
+
+    def set_root(self, chosen: DataFrame) -> Editor:
+        """chosen: tree_id, node_id; the node becomes its tree's root, and the old root is detached."""
+        new = chosen.select("tree_id", F.col("node_id").alias("_root"))
+        n = self.nodes.join(new, "tree_id", "left")
+        old = (F.col("node_id") == F.col("parent_id")) & F.col("_root").isNotNull()
+        parent = F.when(F.col("node_id") == F.col("_root"), F.col("_root")).when(old, None).otherwise(F.col("parent_id"))
+        self.nodes = saved(n.select(*KEYS, parent.alias("parent_id"), "altitude"))
+        return self
+
+    def set_altitudes(self, values: DataFrame) -> Editor:
+        """values: tree_id, node_id, altitude."""
+        new = values.select(*KEYS, F.col("altitude").cast("double").alias("_a"))
+        self.nodes = saved(self.nodes.join(new, KEYS, "left").select(*KEYS, "parent_id", F.coalesce("_a", "altitude").alias("altitude")))
+        return self
 
     def commit(self) -> Tree:
-        return commit(self.tree)
+        """The tree, if all is attached and its invariants hold; the editor goes on from where it is."""
+        return commit(self._whole())
 
 
 # ---------------------------------------------------------------- alternating filters

@@ -44,3 +44,38 @@ def test_reparenting_into_a_cycle_is_an_error(spark):
     moves = spark.createDataFrame([("t", 1, 2)], "tree_id string, node_id long, new_parent long")
     with pytest.raises(ValueError, match="no root is above"):
         edits.Editor(tree).reparent(moves)
+
+
+def rows_of(spark, columns, *rows):
+    return spark.createDataFrame([("t", *r) for r in rows], "tree_id string, " + ", ".join(f"{c} long" for c in columns))
+
+
+def test_staged_edits_with_detached_nodes(spark):
+    """0 over 1 and 4; 1 over 2 and 3: a new node takes 1's children and pixels, 1 goes, and 5 becomes the root."""
+    tree = made(spark, [(0, 0), (1, 0), (2, 1), (3, 1), (4, 0)], altitude=1.0)
+    e = edits.Editor(tree)
+    node = lambda *ids: rows_of(spark, ["node_id"], *((i,) for i in ids))
+    with pytest.raises(ValueError, match="root can't"):
+        e.detach(node(0))
+    e.create_detached(node(5).selectExpr("*", "1.0D AS altitude"))
+    with pytest.raises(ValueError, match="null"):
+        e.commit()
+    e.detach(node(1)).move_children(rows_of(spark, ["source", "target"], (1, 5)))
+    with pytest.raises(ValueError, match="hold pixels"):
+        e.release(node(1))
+    e.merge_proper_parts(rows_of(spark, ["source", "target"], (1, 5))).release(node(1))
+    e.set_root(node(5))
+    with pytest.raises(ValueError, match="not detached"):
+        e.attach(rows_of(spark, ["node_id", "new_parent"], (4, 5)))
+    e.attach(rows_of(spark, ["node_id", "new_parent"], (0, 5)))
+    got = e.commit()
+    assert {(r.node_id, r.parent_id) for r in got.nodes.collect()} == {(5, 5), (2, 5), (3, 5), (0, 5), (4, 0)}
+    assert {(r.pixel, r.node_id) for r in got.owners.collect()} == {(0, 0), (1, 5), (2, 2), (3, 3), (4, 4)}
+    assert e.rollback() is tree and e.nodes.count() == 5
+
+
+def test_children_moved_under_their_own_sibling_and_removed(spark):
+    tree = made(spark, [(0, 0), (1, 0), (2, 0)], [0, 1], 1.0)
+    e = edits.Editor(tree)
+    e.remove_children(rows_of(spark, ["node_id"], (2,)), release=True).move_children(rows_of(spark, ["source", "target"], (0, 1)))
+    assert {(r.node_id, r.parent_id) for r in e.commit().nodes.collect()} == {(0, 0), (1, 0)}

@@ -111,6 +111,44 @@ def test_substring_dedup(docs):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), sum(mark), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(kept).hexdigest())
 
 
+def test_longest_previous_factors():
+    """Against all pairs of suffixes; places of two documents, some of them twice."""
+    r = random.Random(3)
+    for width, letters in ((8, b"ab"), (12, b"a"), (100, b"abc\0")):
+        raw = np.frombuffer(bytes(r.choice(letters) for _ in range(150 + width)), np.uint8)
+        at = np.array([r.randrange(150) for _ in range(120)])
+        doc, start = at % 2, at // 2
+        got = substring_dedup.longest_previous_factors(raw, at, doc, start, width)
+        for i, x in enumerate(at):
+            want = 0
+            for j, y in enumerate(at):
+                if (doc[j], start[j]) < (doc[i], start[i]):
+                    k = 0
+                    while k < width and raw[x + k] == raw[y + k]:
+                        k += 1
+                    want = max(want, k)
+            assert got[i] == want
+
+
+def test_stretches_cover_every_string_once_and_know_equal_bytes():
+    """Also over several parts, and with rows beyond a part."""
+    r = random.Random(8)
+    shared = bytes(r.choice(b"abcdefgh ") for _ in range(400))
+    rows = [bytes(r.choice(b"abcdefgh ") for _ in range(r.choice([0, 50, 99, 100, 101, 300]))) + (shared if i % 3 else b"") for i in range(30)] + [shared * 20, b"", b"a" * 5000]
+    raw, offsets = np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0] + [len(x) for x in rows])
+    for size in (64, 1 << 19):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(substring_dedup, "PART_BYTES", size)
+            row, start, n, anchor, kind = substring_dedup.stretches(raw, offsets)
+        strings = [(i, a) for i, s, m in zip(row.tolist(), start.tolist(), n.tolist()) for a in range(s, s + m)]
+        assert strings == [(i, a) for i, x in enumerate(rows) for a in range(len(x) - 99)]
+        anchors, kinds = {}, {}
+        for i, s, m, h, k in zip(row.tolist(), start.tolist(), n.tolist(), anchor.tolist(), map(tuple, kind.tolist())):
+            assert kinds.setdefault(k, rows[i][s : s + m + 99]) == rows[i][s : s + m + 99]
+            for a in range(s, s + m):
+                assert anchors.setdefault(rows[i][a : a + 100], h) == h
+
+
 @pytest.mark.parametrize("common", [0.01, 2.0])
 def test_substring_dedup_of_a_passage_with_many_neighbours(spark, monkeypatch, common):
     """Over 16 partitions, with the passages' anchors in the common list and (above 1) without."""

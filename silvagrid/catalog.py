@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,16 @@ kids AS (SELECT parent_id AS node_id, node_id AS kid FROM nodes WHERE node_id <>
 area AS (SELECT node_id, count(*) AS n, min(p) AS mp FROM sup GROUP BY 1)"""
 MAX = "WITH RECURSIVE " + (_PX + _TREE).format(sign="1")
 MIN = "WITH RECURSIVE " + (_PX + _TREE).format(sign="-1")
+
+
+def _left(most: int, of: int = 0, sign: int = 1) -> str:
+    """CTEs for the image without the nodes of tree number ``of`` with an area up to ``most``, and for its next tree."""
+    old, new = (str(x) if x else "" for x in (of, of + 1))
+    image = f""", px{new} AS (SELECT o.p, o.r, o.c, CAST({sign} * arg_min(n.altitude, a.dist) AS BIGINT) AS v FROM own{old} o JOIN anc{old} a USING (node_id)
+JOIN nodes{old} n ON n.node_id = a.anc{old} JOIN area{old} ar ON ar.node_id = n.node_id WHERE ar.n > {most} OR n.depth = 0 GROUP BY 1, 2, 3)"""
+    return image + re.sub(r"\b(px|adj|lvs|reach|comp|nd|nodes0|nodes|anc0|anc|own|sup|kids|area)\b", rf"\g<1>{new}", _TREE.format(sign=sign))
+
+
 WORLD = """WITH own AS (SELECT o_orderkey AS p, o_custkey + 1000 AS node_id FROM orders),
 cust AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)),
 nat AS (SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM cust)),
@@ -244,7 +256,8 @@ _query("depth_stability", MAX + _DEEP + _VAR + _STABLE)(_with_area(lambda t, a:
 _ADJ = ", moved AS (SELECT CASE WHEN v IS NULL THEN sb.node_id WHEN v <= coalesce(vd, 1e300) AND v <= coalesce(vu, 1e300) THEN sb.node_id WHEN coalesce(vd, 1e300) <= coalesce(vu, 1e300) THEN dsc ELSE sb.anc END AS node_id FROM sb JOIN area USING (node_id) WHERE area.n < 6) SELECT node_id, node_id NOT IN (SELECT node_id FROM moved) AS keep FROM nodes"
 _query("adjust_mask_altitude", MAX + _SAMPLE + _VAR + _ADJ)(_with_area(lambda t, a: X.adjusted_mask(t, X.preservation_mask(a, "AREA", 6), X.stability(t, a, "AREA", step=2)).select("node_id", "keep")))
 _query("adjust_mask_depth", MAX + _DEEP + _VAR + _ADJ)(_with_area(lambda t, a: X.adjusted_mask(t, X.preservation_mask(a, "AREA", 6), X.stability(t, a, "AREA", levels=1)).select("node_id", "keep")))
-_query("alternating_filter")(lambda s, d: E.alternating(image(s, d), [2, 6]).select("pixel", "value"))
+_ALTERNATED = MAX + _left(2, 0, -1) + _left(2, 1, 1) + _left(6, 2, -1) + _left(6, 3, 1)
+_query("alternating_filter", _ALTERNATED + " SELECT p AS pixel, CAST(v AS DOUBLE) AS value FROM px4")(lambda s, d: E.alternating(image(s, d), [2, 6]).select("pixel", "value"))
 
 # ---------------------------------------------------------------- saliency
 
@@ -272,6 +285,10 @@ ch AS (SELECT node_id, p, 1 AS d FROM ct UNION ALL SELECT n.parent_id, ct.p, -1
 # ---------------------------------------------------------------- edits, compact layout, other constructions
 
 _query("prune_node", WORLD + ", g AS (SELECT a.node_id, n1.parent_id AS t FROM anc a JOIN nodes n1 ON n1.node_id = a.anc WHERE n1.depth = 2 AND n1.node_id % 3 = 0) SELECT o.p AS pixel, coalesce(g.t, o.node_id) AS node_id FROM own o LEFT JOIN g USING (node_id)")(lambda s, d: (lambda t: E.prune(t, t.nodes.where("depth = 2 AND node_id % 3 = 0")).owners.select("pixel", "node_id"))(world(s, d)))
+for _n, _tree, _sql, _sign in (("max", big, MAX, -1), ("min", small, MIN, 1)):
+    _pair = lambda s, d, t=_tree: (lambda tree: E.prune_pair(tree, A.area(tree).where("AREA <= 5")))(t(s, d))
+    _query(f"pruned_{_n}_tree_dual", _sql + _left(5, 0, _sign) + " SELECT node_id, parent_id, altitude, depth FROM nodes1")(lambda s, d, pair=_pair: pair(s, d)[1].nodes.select("node_id", "parent_id", "altitude", "depth"))
+    _query(f"pruned_{_n}_tree_image", _sql + _left(5, 0, _sign) + f" SELECT p AS pixel, CAST({_sign} * v AS DOUBLE) AS value FROM px1")(lambda s, d, pair=_pair: X.reconstruct(pair(s, d)[0]).select("pixel", "value"))
 _query("merge_into_parent", WORLD + ", m AS (SELECT node_id, parent_id FROM nodes WHERE depth = 2 AND node_id % 3 = 0) SELECT n.node_id, coalesce(m.parent_id, n.parent_id) AS parent_id FROM nodes n LEFT JOIN m ON m.node_id = n.parent_id WHERE n.node_id NOT IN (SELECT node_id FROM m)")(lambda s, d: (lambda t: E.merge_into_parent(t, t.nodes.where("depth = 2 AND node_id % 3 = 0")).nodes.select("node_id", "parent_id"))(world(s, d)))
 _query("set_altitudes", WORLD + " SELECT node_id, altitude * 2 AS altitude FROM nodes")(lambda s, d: (lambda t: E.set_altitudes(t, t.nodes.select("tree_id", "node_id", (F.col("altitude") * 2).alias("altitude"))).nodes.select("node_id", "altitude"))(world(s, d)))
 _query("compact_export", MAX + """, way AS (SELECT node_id, list(anc ORDER BY anc_depth) AS way FROM anc GROUP BY 1), sz AS (SELECT anc AS node_id, count(*) AS size FROM anc GROUP BY 1),
@@ -287,6 +304,7 @@ _query("tree_of_shapes")(lambda s, d: P.tree_of_shapes(image(s, d)).nodes.select
 _query("shape_polarity")(lambda s, d: T.polarity(P.tree_of_shapes(image(s, d))).select("node_id", "polarity"))
 _query("residual_unrestricted_reconstruct", _EXACT.format(f=1))(lambda s, d: X.reconstruct(P.residual_tree(image(s, d))).select("pixel", "value"))
 _query("residual_saturated_reconstruct", _EXACT.format(f=1))(lambda s, d: X.reconstruct(P.residual_tree(image(s, d), saturated=True)).select("pixel", "value"))
+_query("residual_tree_column_order_reconstruct", _EXACT.format(f=1))(lambda s, d: X.reconstruct(P.residual_tree(image(s, d).withColumn("place", F.col("col") * 16 + F.col("row")), place="place")).select("pixel", "value"))
 _query("residual_tree")(lambda s, d: P.residual_tree(image(s, d)).nodes.select("node_id", "parent_id", "altitude", "depth"))
 _query("event_grid", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS image_id, CAST(hour(ts) AS INTEGER) AS \"row\", CAST(user_id % 24 AS INTEGER) AS col, count(*) AS value FROM events GROUP BY 1, 2, 3")(lambda s, d: I.event_grid(s.read.parquet(f"{d}/events.parquet")))
 _query("many_images_area", None)(lambda s, d: (lambda t: A.area(t).groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("AREA").alias("area")))(P.max_tree(R.lineitem_raster(s, d, 32, 64, F.date_format("l_shipdate", "yyyy-MM")))))

@@ -320,14 +320,26 @@ def _contracted(full: Hierarchy, owner: np.ndarray) -> Hierarchy:
 # ---------------------------------------------------------------- residual trees
 
 
-def residual_tree(image: np.ndarray, offsets=None, saturated: bool = False, infinity: int = 0):
+def checked_places(places, n: int) -> list[int]:
+    """places as a list, if they are a permutation of range(n)."""
+    out = np.asarray(places)
+    if out.shape != (n,) or out.dtype.kind not in "iu" or not np.array_equal(np.sort(out), np.arange(n)):
+        raise ValueError("the places of pixels must be a permutation of 0 to their number")
+    return out.tolist()
+
+
+def residual_tree(image: np.ndarray, offsets=None, saturated: bool = False, infinity: int = 0, places=None):
     """Self-dual residual tree: leaves of the max- and min-tree of the current image are levelled, the smallest
-    support first, ties by smallest pixel. Saturated: only supports without the pixel at infinity whose
+    support first, ties by the pixel that comes first. Pixels come in row-major order, or in that of their
+    ``places``, a permutation. Saturated: only supports without the pixel at infinity whose
     complement is connected. Returns the tree and its events (polarity, altitude, merging level)."""
     rows, cols = image.shape
     offsets = stencil(1.0) if offsets is None else offsets
     near = _neighbour_lists(rows, cols, offsets)
     n = rows * cols
+    place = range(n) if places is None else checked_places(places, n)
+    at = np.empty(n, np.int64)
+    at[np.asarray(place)] = np.arange(n)  # the pixel of each place
     value = image.reshape(-1).astype(np.int64).tolist()
     zone = [-1] * n  # flat zone of each pixel
     members: dict[int, set[int]] = {}
@@ -380,7 +392,7 @@ def residual_tree(image: np.ndarray, offsets=None, saturated: bool = False, infi
     heap = []
     for z in list(members):
         if extremum(z):
-            heapq.heappush(heap, (len(members[z]), min(members[z]), z))
+            heapq.heappush(heap, (len(members[z]), min(map(place.__getitem__, members[z])), z))
     parent_of: dict[int, int] = {}
     tops: dict[int, list[int]] = {z: [] for z in members}  # open event nodes inside a zone
     unowned: dict[int, set[int]] = {z: set(m) for z, m in members.items()}
@@ -396,7 +408,7 @@ def residual_tree(image: np.ndarray, offsets=None, saturated: bool = False, infi
         to, polarity = found
         own = members[z]
         node = len(events) + 1
-        events.append((polarity, value[first], to))
+        events.append((polarity, value[at[first]], to))
         for p in unowned[z]:
             owner[p] = node
         for c in tops[z]:
@@ -417,7 +429,7 @@ def residual_tree(image: np.ndarray, offsets=None, saturated: bool = False, infi
         again = {fresh} | (around - touched) | {zone[q] for p in merged for q in near[p]}
         for t in again:
             if t in members and extremum(t):
-                heapq.heappush(heap, (len(members[t]), min(members[t]), t))
+                heapq.heappush(heap, (len(members[t]), min(map(place.__getitem__, members[t])), t))
         fresh += 1
     parent = [0] * (len(events) + 1)
     for c, p in parent_of.items():

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silvagrid.kernels import trees as K
-from silvagrid.plans.tree import Tree, _paths, from_native, validate
+from silvagrid.plans.tree import Tree, _paths, from_native, max_tree, min_tree, validate
 from silvagrid.sources.shared import saved
 
 KEYS = ["tree_id", "node_id"]
@@ -15,7 +15,8 @@ KEYS = ["tree_id", "node_id"]
 
 def _again(tree: Tree, nodes: DataFrame, owners: DataFrame) -> Tree:
     out = from_native(nodes, owners, tree.order, tree.grid)
-    return Tree(out.nodes, out.owners, tree.kind, tree.order, tree.offsets, tree.grid, tree.extra)
+    about = {k: v for k, v in (tree.extra or {}).items() if k != "vertices"}  # an edited tree has left the compact layout
+    return Tree(out.nodes, out.owners, tree.kind, tree.order, tree.offsets, tree.grid, about)
 
 
 def prune(tree: Tree, chosen: DataFrame) -> Tree:
@@ -29,6 +30,18 @@ def prune(tree: Tree, chosen: DataFrame) -> Tree:
     return _again(tree, n.where("_top IS NULL").select("tree_id", "node_id", "parent_id", "altitude"), owners)
 
 
+def prune_pair(tree: Tree, chosen: DataFrame) -> tuple[Tree, Tree]:
+    """A max-tree (or min-tree) pruned at the chosen nodes, and the other tree of the image that is left: both stand for
+    the same pixels. The other tree is made anew, one kernel call an image; its ids are its own."""
+    other = {"max": min_tree, "min": max_tree}.get(tree.kind)
+    if other is None:
+        raise ValueError("only max-trees and min-trees have a dual tree")
+    left = prune(tree, chosen)
+    levels = left.nodes.select(*KEYS, F.col("altitude").alias("_a"))
+    owners = saved(left.owners.join(levels, KEYS).select("tree_id", "pixel", "row", "col", F.col("_a").alias("value"), "node_id"))
+    return Tree(left.nodes, owners, left.kind, left.order, left.offsets, left.grid, left.extra), other(owners.drop("node_id").withColumnRenamed("tree_id", "image_id"), offsets=tree.offsets)
+
+
 def merge_into_parent(tree: Tree, chosen: DataFrame) -> Tree:
     """Chosen nodes dissolve: their pixels and children go to the nearest ancestor that stays."""
     cut = chosen.select(*KEYS, F.lit(True).alias("_c"))
@@ -211,7 +224,16 @@ def import_compact(rows: DataFrame, n_pixels: int, cols: int | None, order: str
     owners = rows.where(F.col("vertex") < n_pixels).select("tree_id", F.col("vertex").alias("pixel"), (F.col("parent") - n_pixels).alias("node_id"), F.col("altitude").cast("double").alias("value"))
     if cols:
         owners = owners.withColumn("row", F.floor(F.col("pixel") / cols).cast("int")).withColumn("col", (F.col("pixel") % cols).cast("int"))
-    return from_native(nodes, owners, order, cols is not None)
+    made = from_native(nodes, owners, order, cols is not None)
+    return Tree(made.nodes, made.owners, made.kind, made.order, made.offsets, made.grid, {"vertices": n_pixels})
+
+
+def as_vertices(tree: Tree, rows: DataFrame, column: str = "node_id") -> DataFrame:
+    """rows with node ids in the ids of the compact layout that the tree was imported from; an error once it was edited."""
+    n_pixels = (tree.extra or {}).get("vertices")
+    if n_pixels is None:
+        raise ValueError("the tree has no compact layout: it wasn't imported from one, or was edited since")
+    return rows.withColumn(column, F.col(column) + n_pixels)
 
 
 def project_compact(tree: Tree, values: DataFrame, columns: list[str], units: dict[str, float]) -> DataFrame:

@@ -108,8 +108,9 @@ def _from_kernel(made: DataFrame, **about) -> Tree:
     return Tree(nodes, owners, **about)
 
 
-def _images(pixels: DataFrame, build) -> DataFrame:
-    """build(image) -> hierarchy, for each image_id of (image_id, pixel, row, col, value)."""
+def _images(pixels: DataFrame, build, *columns: str | None) -> DataFrame:
+    """build(image) -> hierarchy, for each image_id of (image_id, pixel, row, col, value); the columns named besides
+    are handed to build in pixel order."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pixel")
@@ -120,7 +121,7 @@ def _images(pixels: DataFrame, build) -> DataFrame:
         if values.dtype.kind == "f" and not np.isfinite(values).all():
             raise ValueError("pixel values must be finite")
         image = values.reshape(rows, cols)
-        return _rows(str(frame["image_id"].iloc[0]), build(image), cols, image)
+        return _rows(str(frame["image_id"].iloc[0]), build(image, *(frame[c].to_numpy() for c in columns if c)), cols, image)
 
     return pixels.groupBy("image_id").applyInPandas(run, _MADE)
 
@@ -128,10 +129,10 @@ def _images(pixels: DataFrame, build) -> DataFrame:
 def _linked(build, offsets):
     """build, for images whose pixels the offsets join into one."""
 
-    def run(image):
+    def run(image, *more):
         if not K.connects(offsets, *image.shape):
             raise ValueError("the structuring element doesn't connect the image")
-        return build(image)
+        return build(image, *more)
 
     return run
 
@@ -152,9 +153,11 @@ def tree_of_shapes(pixels: DataFrame, immersion: str = "selfdual", exterior: boo
     return _from_kernel(_images(pixels, lambda im: K.tree_of_shapes(im, immersion, exterior, infinity)), kind="shapes", offsets=K.stencil(1.0), extra={"immersion": immersion})
 
 
-def residual_tree(pixels: DataFrame, radius: float = 1.0, saturated: bool = False, infinity: int = 0, offsets=None) -> Tree:
+def residual_tree(pixels: DataFrame, radius: float = 1.0, saturated: bool = False, infinity: int = 0, offsets=None, place: str | None = None) -> Tree:
+    """``place`` names a column with each pixel's place in the order that breaks ties: a permutation in each image."""
     offsets = K.checked_stencil(offsets) if offsets else K.stencil(radius)
-    return _from_kernel(_images(pixels, _linked(lambda im: K.residual_tree(im, offsets, saturated, infinity)[0], offsets)), kind="residual", offsets=offsets)
+    build = lambda im, at=None: K.residual_tree(im, offsets, saturated, infinity, at)[0]
+    return _from_kernel(_images(pixels, _linked(build, offsets), place), kind="residual", offsets=offsets)
 
 
 def _sound(base: DataFrame, owners: DataFrame) -> None:

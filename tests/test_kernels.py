@@ -76,6 +76,24 @@ def test_residual_inversion():
     assert a.parent.tolist() == b.parent.tolist() and a.owner.tolist() == b.owner.tolist()
 
 
+@pytest.mark.parametrize("saturated", [False, True])
+def test_residual_tree_by_columns_is_that_of_the_transposed_image(saturated):
+    for image in RANDOM:
+        rows, cols = image.shape
+        turned = np.arange(rows * cols).reshape(cols, rows).T.reshape(-1)  # each pixel's place, column by column
+        one, events = K.residual_tree(image, saturated=saturated, places=turned)
+        two, same = K.residual_tree(image.T.copy(), saturated=saturated)
+        assert events == same and one.parent.tolist() == two.parent.tolist() and one.owner.tolist() == two.owner[turned].tolist()
+        plain = K.residual_tree(image, saturated=saturated, places=np.arange(rows * cols))
+        assert plain[1] == K.residual_tree(image, saturated=saturated)[1]
+
+
+@pytest.mark.parametrize("places", [[0, 1, 2], [0, 1, 2, 2], [1, 2, 3, 4], [0.0, 1.0, 2.0, 3.0]])
+def test_places_must_be_a_permutation(places):
+    with pytest.raises(ValueError, match="permutation"):
+        K.residual_tree(np.array([[0, 1], [2, 3]]), places=places)
+
+
 def test_topology_counters():
     h = K.component_tree(F1, maximum=False)
     t = K.topology(h)

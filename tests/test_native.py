@@ -79,3 +79,19 @@ def test_children_moved_under_their_own_sibling_and_removed(spark):
     e = edits.Editor(tree)
     e.remove_children(rows_of(spark, ["node_id"], (2,)), release=True).move_children(rows_of(spark, ["source", "target"], (0, 1)))
     assert {(r.node_id, r.parent_id) for r in e.commit().nodes.collect()} == {(0, 0), (1, 0)}
+
+
+def test_ids_of_the_compact_layout_end_with_an_edit(spark):
+    rows = [("t", 0, 3, 2.0), ("t", 1, 4, 1.0), ("t", 2, 4, 1.0), ("t", 3, 4, 2.0), ("t", 4, 4, 1.0)]
+    tree = edits.import_compact(spark.createDataFrame(rows, "tree_id string, vertex long, parent long, altitude double"), 3, 3, "increasing")
+    assert sorted(r.node_id for r in edits.as_vertices(tree, tree.nodes).collect()) == [3, 4]
+    cut = edits.prune(tree, tree.nodes.where("node_id = 0"))
+    for other in (cut, made(spark, [(0, 0), (1, 0)])):
+        with pytest.raises(ValueError, match="compact layout"):
+            edits.as_vertices(other, other.nodes)
+
+
+def test_only_component_trees_have_a_dual(spark):
+    tree = made(spark, [(0, 0), (1, 0)])
+    with pytest.raises(ValueError, match="dual"):
+        edits.prune_pair(tree, tree.nodes.limit(0))

@@ -241,13 +241,15 @@ _query("soft_subtractive_filter", MAX + _RES + " SELECT o.p AS pixel, round(sum(
 _query("pruning_min", MAX + ", gone AS (SELECT DISTINCT a.node_id FROM anc a JOIN area ar ON ar.node_id = a.anc WHERE a.anc_depth > 0 AND ar.n <= 5) SELECT o.p AS pixel, arg_min(n.altitude, a.dist) AS value FROM own o JOIN anc a USING (node_id) JOIN nodes n ON n.node_id = a.anc WHERE a.anc NOT IN (SELECT node_id FROM gone) GROUP BY 1")(_with_area(lambda t, a: X.pruning_min_by(t, a, "AREA", 5).select("pixel", "value")))
 _query("pruning_max", MAX + ", col AS (SELECT a.anc AS node_id FROM anc a JOIN area ar ON ar.node_id = a.node_id GROUP BY 1 HAVING bool_and(ar.n <= 5)), tp AS (SELECT a.node_id, arg_min(a.anc, a.anc_depth) AS top FROM anc a JOIN col ON col.node_id = a.anc GROUP BY 1) SELECT o.p AS pixel, coalesce(u.altitude, n.altitude) AS value FROM own o JOIN nodes n USING (node_id) LEFT JOIN tp USING (node_id) LEFT JOIN nodes u ON u.node_id = tp.top")(_with_area(lambda t, a: X.pruning_max_by(t, a, "AREA", 5).select("pixel", "value")))
 _query("reconstruct_contributions", MAX + " SELECT o.p AS pixel, CAST(sum(ar.n) AS DOUBLE) AS value FROM own o JOIN anc a USING (node_id) JOIN area ar ON ar.node_id = a.anc GROUP BY 1")(_with_area(lambda t, a: _round(X.reconstruct_contributions(t, a, "AREA"), "pixel")))
-_query("viterbi_filter")(_with_area(lambda t, a: X.viterbi(t, a, "AREA", 6).select("pixel", "value")))
+# kept: the least cost below a node that stays, level by level from the deepest (values under 8 give depths under 8)
+_COST = ", cost AS (SELECT n.node_id, n.parent_id, n.depth, greatest(0, 6 - ar.n) AS kc, d.g FROM nodes n JOIN area ar USING (node_id) JOIN (SELECT a.anc AS node_id, sum(greatest(0, ar.n - 6)) AS g FROM anc a JOIN area ar USING (node_id) GROUP BY 1) d USING (node_id)), k8 AS (SELECT 0 AS parent_id, 0 AS kept, 0 AS g WHERE false)"
+_COST += "".join(f", k{i} AS (SELECT c.node_id, c.parent_id, c.kc + coalesce(sum(least(k.kept, k.g)), 0) AS kept, c.g FROM cost c LEFT JOIN k{i + 1} k ON k.parent_id = c.node_id WHERE c.depth = {i} GROUP BY c.node_id, c.parent_id, c.kc, c.g)" for i in range(7, -1, -1))
+_COST += ", bad AS (" + " UNION ALL ".join(f"SELECT node_id FROM k{i} WHERE kept >= g" for i in range(1, 8)) + "), gone AS (SELECT DISTINCT a.node_id FROM anc a JOIN bad ON bad.node_id = a.anc)"
+_query("viterbi_filter", MAX + _COST + " SELECT o.p AS pixel, arg_min(n.altitude, a.dist) AS value FROM own o JOIN anc a USING (node_id) JOIN nodes n ON n.node_id = a.anc WHERE a.anc NOT IN (SELECT node_id FROM gone) GROUP BY 1")(_with_area(lambda t, a: X.viterbi(t, a, "AREA", 6).select("pixel", "value")))
 _query("extinction_values")(_with_area(lambda t, a: X.extinction(t, a, "AREA").drop("tree_id")))
 _query("extinction_filter")(_with_area(lambda t, a: X.extinction_filter(t, X.extinction(t, a, "AREA"), top_k=4).select("pixel", "value")))
 _query("extinction_attribute")(_with_area(lambda t, a: X.extinction_attribute(t, X.extinction(t, a, "AREA")).drop("tree_id")))
 _query("extinction_contour_map")(_with_area(lambda t, a: X.extinction_contours(t, X.extinction(t, a, "AREA"), C.contour_pixels(t), top_k=4).select("pixel", "value")))
-_query("ultimate_opening")(_with_area(lambda t, a: X.ultimate_opening(t, a, "AREA", 64).select("pixel", "contrast", "associated")))
-_query("ultimate_opening_mser")(_with_area(lambda t, a: X.ultimate_opening(t, a, "AREA", 64, X.stability(t, a, "AREA", step=1).withColumnRenamed("stable", "selected")).select("pixel", "contrast", "associated")))
 _VAR = ", va AS (SELECT w.node_id, w.anc, w.dsc, (u.n - x.n) / a.n AS v FROM wd w JOIN area a USING (node_id) LEFT JOIN area u ON u.node_id = w.anc LEFT JOIN area x ON x.node_id = w.dsc), sb AS (SELECT p.node_id, p.anc, p.dsc, p.v, q.v AS vu, r.v AS vd FROM va p LEFT JOIN va q ON q.node_id = p.anc LEFT JOIN va r ON r.node_id = p.dsc)"
 _DEEP = ", st AS (SELECT node_id, anc FROM anc WHERE dist = 1), dn AS (SELECT st.anc AS node_id, arg_max(st.node_id, ROW(area.n, -area.mp)) AS dsc FROM st JOIN area USING (node_id) GROUP BY 1), wd AS (SELECT n.node_id, st.anc, dn.dsc FROM nodes n LEFT JOIN st USING (node_id) LEFT JOIN dn USING (node_id))"
 _STABLE = " SELECT node_id, round(v, 6) AS variation, coalesce(v < vu AND v < vd AND v < 10, false) AS stable FROM sb"
@@ -256,6 +258,14 @@ _query("depth_stability", MAX + _DEEP + _VAR + _STABLE)(_with_area(lambda t, a:
 _ADJ = ", moved AS (SELECT CASE WHEN v IS NULL THEN sb.node_id WHEN v <= coalesce(vd, 1e300) AND v <= coalesce(vu, 1e300) THEN sb.node_id WHEN coalesce(vd, 1e300) <= coalesce(vu, 1e300) THEN dsc ELSE sb.anc END AS node_id FROM sb JOIN area USING (node_id) WHERE area.n < 6) SELECT node_id, node_id NOT IN (SELECT node_id FROM moved) AS keep FROM nodes"
 _query("adjust_mask_altitude", MAX + _SAMPLE + _VAR + _ADJ)(_with_area(lambda t, a: X.adjusted_mask(t, X.preservation_mask(a, "AREA", 6), X.stability(t, a, "AREA", step=2)).select("node_id", "keep")))
 _query("adjust_mask_depth", MAX + _DEEP + _VAR + _ADJ)(_with_area(lambda t, a: X.adjusted_mask(t, X.preservation_mask(a, "AREA", 6), X.stability(t, a, "AREA", levels=1)).select("node_id", "keep")))
+# areas rise strictly towards the root, so each node is a primitive of its own; of growth that goes on from node to node the first area is told
+_OPENED = """, way AS (SELECT a.node_id, a.anc_depth, ar.n, CASE WHEN {counts} THEN n.altitude - u.altitude ELSE 0 END AS rest FROM anc a JOIN area ar ON ar.node_id = a.anc JOIN nodes n ON n.node_id = a.anc JOIN nodes u ON u.node_id = n.parent_id WHERE n.depth > 0 AND ar.n <= 64),
+gr AS (SELECT *, rest > coalesce(max(rest) OVER (PARTITION BY node_id ORDER BY anc_depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grown FROM way),
+ga AS (SELECT *, grown AND NOT coalesce(lag(grown) OVER (PARTITION BY node_id ORDER BY anc_depth), false) AS opens FROM gr),
+rs AS (SELECT node_id, max(rest) AS contrast, arg_max(n + 1, anc_depth) FILTER (WHERE opens) AS associated FROM ga GROUP BY 1)
+SELECT o.p AS pixel, CAST(coalesce(contrast, 0) AS DOUBLE) AS contrast, CAST(coalesce(associated, 0) AS BIGINT) AS associated FROM own o LEFT JOIN rs USING (node_id)"""
+_query("ultimate_opening", MAX + _OPENED.format(counts="true"))(_with_area(lambda t, a: X.ultimate_opening(t, a, "AREA", 64).select("pixel", "contrast", "associated")))
+_query("ultimate_opening_mser", MAX + _SAMPLE.replace(">= 2", ">= 1") + _VAR + _OPENED.format(counts="a.anc IN (SELECT node_id FROM sb WHERE v < vu AND v < vd AND v < 10)"))(_with_area(lambda t, a: X.ultimate_opening(t, a, "AREA", 64, X.stability(t, a, "AREA", step=1).withColumnRenamed("stable", "selected")).select("pixel", "contrast", "associated")))
 _ALTERNATED = MAX + _left(2, 0, -1) + _left(2, 1, 1) + _left(6, 2, -1) + _left(6, 3, 1)
 _query("alternating_filter", _ALTERNATED + " SELECT p AS pixel, CAST(v AS DOUBLE) AS value FROM px4")(lambda s, d: E.alternating(image(s, d), [2, 6]).select("pixel", "value"))
 

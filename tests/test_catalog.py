@@ -10,7 +10,7 @@ import pytest
 from silvagrid import catalog
 
 DATA = "/root/testdata/sf0.01"
-NAMES = ["raster", "max_tree", "min_tree_owners", "forward_edges", "area", "contour_sides", "bitquad_counts", "bitquad_histogram", "bitquad_scalars", "contour_deltas", "compact_export", "pruning_min", "subtractive_filter", "saliency_ranked", "residual_saturated_reconstruct", "residual_tree_column_order_reconstruct", "alternating_filter", "pruned_max_tree_dual", "pruned_max_tree_image", "pruned_min_tree_dual"]
+NAMES = ["raster", "max_tree", "min_tree_owners", "forward_edges", "area", "contour_sides", "bitquad_counts", "bitquad_histogram", "bitquad_scalars", "contour_deltas", "compact_export", "pruning_min", "subtractive_filter", "saliency_ranked", "residual_saturated_reconstruct", "residual_tree_column_order_reconstruct", "alternating_filter", "viterbi_filter", "ultimate_opening", "ultimate_opening_mser", "pruned_max_tree_dual", "pruned_max_tree_image", "pruned_min_tree_dual"]
 
 
 @pytest.fixture(scope="module")

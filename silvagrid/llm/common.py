@@ -3,7 +3,8 @@ shared folder, and connected components over links that are never collected."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvagrid.sources.shared import dropped, saved, shared_dir  # noqa: F401
+from silvagrid.sources.shared import dropped, gathered, saved, shared_dir  # noqa: F401
 
 #: Kernels work on slices of an Arrow batch that hold about so many bytes of text.
 SLICE_BYTES = 4 << 20
@@ -29,6 +30,22 @@ def joined_small(left: DataFrame, right: DataFrame, on: list[str] | str, how: st
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = SLICE_BYTES) -> Iterator[None]:
+    """Plans made here hand Python Arrow batches of about ``most`` bytes (a longer row stands alone) instead of 10,000
+    rows or 64 MB, which each task holds several times, outside the heap and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a text or binary column with about ``most`` bytes each (a longer row stands alone)."""
     if isinstance(column, pa.ChunkedArray):
@@ -70,7 +87,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, write: Callable[..., DataFrame] = saved) -> DataFrame:
     """Connected components of links (u, v), as rows (id, component) for every id that has a link to another;
     component is the smallest id reachable.
 
@@ -78,10 +95,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     its smallest neighbour. Rows stay on the executors, one written table per round; the number of rounds
     grows with the logarithm of the longest chain. Minima are aggregated on the map side, so one node with
     very many links adds one row per task; its links are joined to that minimum by a join that adaptive
-    execution can split.
+    execution can split. ``write`` (saved or gathered) writes the tables.
     """
     spark = links.sparkSession
-    now = saved(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    now = write(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "u", "v")
     for _ in range(most_rounds):
         # done when every node hangs on one other, which hangs on none
         ends = now.select(F.col("u").alias("id"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(now.select("v", F.lit(0), F.lit(1)))
@@ -95,7 +112,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(small_least, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = saved(small)
+        after = write(small, "u", "v")
         dropped(now)
         now = after
     else:

@@ -42,12 +42,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvagrid.llm.common import components, dropped, joined_small, mix64, saved, slices, table, text_bytes
+from silvagrid.llm.common import components, dropped, gathered, joined_small, mix64, saved, slices, small_batches, table, text_bytes
 
 COORDINATES, MATCHES = 32, 18
 #: Sizes whose logarithms to this base have the same whole part are of one class.
 SIZE_BASE = 1.05
 BITS = 2048
+#: Bytes of text that are hashed at a time; the arrays for these take about forty times as much.
+SLICE = 256 << 10
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -122,7 +124,7 @@ def _alike(percent: int, n: str, o: str, p: str, q: str) -> Column:
 def _sketches(width: int):
     def run(batches):
         for batch in batches:
-            for a, b in slices(batch.column("text"), 2 << 20):
+            for a, b in slices(batch.column("text"), SLICE):
                 part = batch.slice(a, b - a)
                 sets = shingle_sets(part.column("text"), width)
                 yield pa.RecordBatch.from_arrays(
@@ -141,7 +143,7 @@ def _sketches(width: int):
 def _sets(width: int):
     def run(batches):
         for batch in batches:
-            for a, b in slices(batch.column("text"), 2 << 20):
+            for a, b in slices(batch.column("text"), SLICE):
                 part = batch.slice(a, b - a)
                 sets = shingle_sets(part.column("text"), width)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -161,26 +163,28 @@ class _Join:
     def __init__(self, source: DataFrame, width: int, percent: int, matches: int):
         self.percent, self.matches = percent, matches
         kind = source.schema["doc_id"].dataType.simpleString()
-        self.sketches = saved(source.mapInArrow(_sketches(width), f"doc_id {kind}, n_shingles long, set_id binary, pairs array<long>"))
-        self.classes = saved(self.sketches.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep")))
+        with small_batches(source.sparkSession):
+            self.sketches = saved(source.mapInArrow(_sketches(width), f"doc_id {kind}, n_shingles long, set_id binary, pairs array<long>"))
+        self.classes = gathered(self.sketches.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "set_id")
         self.reps = self.sketches.join(self.classes, "set_id").where("doc_id = rep").select("doc_id", "n_shingles", "pairs")
         posted = self.reps.select("doc_id", F.explode("pairs").alias("pair"))
         lengths = posted.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = posted.join(lengths, "pair").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("shared"))
         shared = shared.where(F.size("shared") >= matches)
-        self.docs = saved(shared.select("doc_id", F.col("shared.pair").alias("shared")).join(self.reps, "doc_id"))
+        self.docs = gathered(shared.select("doc_id", F.col("shared.pair").alias("shared")).join(self.reps, "doc_id"), "doc_id")
         chosen = joined_small(source, self.docs.select("doc_id"), "doc_id", "left_semi", self.docs.count())
-        self.hashes = saved(chosen.mapInArrow(_sets(width), f"doc_id {kind}, hashes array<long>, bits array<long>"))
+        with small_batches(source.sparkSession):
+            self.hashes = saved(chosen.mapInArrow(_sets(width), f"doc_id {kind}, hashes array<long>, bits array<long>"))
 
     def components(self) -> DataFrame:
         """id, component of every document with a link."""
         first = self._confirmed(self._stars())
-        of = components(first)
+        of = components(first, write=gathered)
         dropped(first)
         pairs, used = self._rest(of)
         more = self._confirmed(pairs)
         # the components so far are links too
-        out = components(of.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
+        out = components(of.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more), write=gathered)
         for x in (*used, more, self.docs, self.hashes):
             dropped(x)
         return out
@@ -202,7 +206,7 @@ class _Join:
         t = self.percent
         placed = self._posted().join(of.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         mixed = placed.groupBy("pair").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("pair")
-        members = saved(placed.join(mixed, "pair").select("doc_id", F.col("n_shingles").alias("n"), "component").distinct())
+        members = gathered(placed.join(mixed, "pair").select("doc_id", F.col("n_shingles").alias("n"), "component").distinct(), "doc_id")
         words = members.join(self.hashes.select("doc_id", "hashes"), "doc_id").select("doc_id", "n", "component", F.explode("hashes").alias("w"))
         often = words.groupBy("w").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
         ordered = words.join(often, "w").groupBy("doc_id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("words"))
@@ -215,7 +219,7 @@ class _Join:
         least = F.ceil(t * F.col("n") / 100).cast("long")
         offers = at.where(F.col("left") * (100 + t) >= 2 * t * F.col("n")).select("w", _size_class(F.col("n")).alias("c"), F.lit(True).alias("offer"), "doc_id", "n", F.col("n").alias("most"), "component")
         asks = at.where(most >= least).select("w", F.explode(F.sequence(_size_class(F.greatest(least, F.lit(1))), _size_class(most))).alias("c"), F.lit(False).alias("offer"), "doc_id", "n", most.alias("most"), "component")
-        posts = saved(offers.union(asks))
+        posts = gathered(offers.union(asks), "doc_id")
         parts = posts.groupBy("w", "c", "component").agg(F.count(F.lit(1)).alias("m"), F.max("offer").alias("o"), F.max(~F.col("offer")).alias("a"))
         keys = parts.groupBy("w", "c").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.max("o").alias("o"), F.max("a").alias("a")).where("parts > 1 AND o AND a").select("w", "c", "main")
         live = posts.join(keys, ["w", "c"]).join(self.hashes.select("doc_id", "bits"), "doc_id").withColumn("main", F.col("component") == F.col("main"))
@@ -234,7 +238,7 @@ class _Join:
         sets = self.hashes.select("doc_id", "hashes")
         full = near.join(sets.toDF("v", "b"), "v").join(sets.toDF("u", "a"), "u")
         both = F.size(F.array_intersect("a", "b"))
-        return saved(full.where(both * (100 + self.percent) >= self.percent * (F.col("n") + F.col("o"))).select("u", "v"))
+        return gathered(full.where(both * (100 + self.percent) >= self.percent * (F.col("n") + F.col("o"))).select("u", "v"), "u", "v")
 
 
 def near_duplicates(docs: DataFrame, text: Column | str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80, matches: int | None = None) -> DataFrame:
@@ -255,7 +259,7 @@ def near_duplicates(docs: DataFrame, text: Column | str = "text", doc_id: str =
         firsts = ids.where("own IS NOT NULL").groupBy("own").agg(F.min("doc_id").alias("v"))
         classes = join.sketches.select("doc_id", "set_id").join(join.classes, "set_id").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
         same = ids.join(firsts, "own").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
-        of = components(of.select(F.col("id").alias("u"), F.col("component").alias("v")).union(classes).union(same))
+        of = components(of.select(F.col("id").alias("u"), F.col("component").alias("v")).union(classes).union(same), write=gathered)
         least = of.join(ids.where("own IS NOT NULL").withColumnRenamed("doc_id", "id"), "id").groupBy("component").agg(F.min("own").alias("component_id"))
         to = of.join(least, "component").select(F.col("id").alias("doc_id"), "component_id")
         out = join.sketches.select("doc_id", "n_shingles").join(ids, "doc_id").join(to, "doc_id", "left").select(F.col("own").alias("doc_id"), "n_shingles", F.when(F.col("own").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +42,14 @@ def saved(df: DataFrame, *by: str) -> DataFrame:
     return out
 
 
+def gathered(df: DataFrame, *by: str) -> DataFrame:
+    """saved(), for small results of wide shuffles: rows are dealt anew by some columns, so that the number of files
+    follows the bytes (adaptive execution) and is no more than the cores, whatever the number of shuffle partitions.
+    Where Hadoop has no native code, each file on a local disk costs its executor several child processes (chmod)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return saved(df.hint("rebalance", *(F.col(c) for c in by)).coalesce(cores))
+
+
 def dropped(df: DataFrame) -> None:
     """Remove a table of saved() that nothing will read any more."""
     if to := getattr(df, "_silvagrid_path", None):

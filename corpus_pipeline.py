@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silvagrid.llm import bpe, exact_dedup, language_id, minhash, mixing
-from silvagrid.llm.common import saved, table
+from silvagrid.llm.common import saved, small_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,7 +19,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no letters) go; lang becomes the predicted language of the others."""
     model = language_id.fit(docs.where(~language_id.held_out()).select("text", "lang"))
-    out = language_id.identify(docs.select(*COLUMNS), model, keep=COLUMNS).where("lang_pred <> 'und'")
+    with small_batches(spark):  # holds for plans made in here, so the rows are written in here
+        out = saved(language_id.identify(docs.select(*COLUMNS), model, keep=COLUMNS).where("lang_pred <> 'und'"))
     return out.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.{c}").alias(c) for c in COLUMNS))
 
 

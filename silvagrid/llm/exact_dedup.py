@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silvagrid.llm.common import saved, slices, table, text_bytes
+from silvagrid.llm.common import saved, slices, small_batches, table, text_bytes
 
 #: Chunk sizes in bytes: none below LEAST but the last, none above MOST, about LEAST + 2**BITS on average.
 LEAST, BITS, MOST = 512, 11, 16384
+#: Bytes of text that are cut at a time: the hashes of each place take several times as much.
+SLICE = 256 << 10
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -63,12 +65,15 @@ def _digest(chunk: bytes, size: int) -> bytes:
     return hashlib.blake2b(chunk, digest_size=size).digest()
 
 
-def _recipes(size: int, carried: tuple[str, ...] = ()):
+def _recipes(size: int, carried: tuple[str, ...] = (), within: str | None = None):
+    """``within``: the text is that field of the column ``row``, so that it comes once."""
+
     def run(batches):
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            texts = batch.column("text") if within is None else batch.column("row").field(within)
+            for a, b in slices(texts, SLICE):
                 part = batch.slice(a, b - a)
-                raw, offs = text_bytes(part.column("text"))
+                raw, offs = text_bytes(texts.slice(a, b - a))
                 whole = raw.tobytes()
                 ends = cut_points(raw, offs)
                 recipes, shas = [], []
@@ -87,7 +92,7 @@ def _recipes(size: int, carried: tuple[str, ...] = ()):
 def _chunks(size: int):
     def run(batches):
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), SLICE):
                 raw, offs = text_bytes(batch.column("text").slice(a, b - a))
                 whole, seen = raw.tobytes(), {}
                 for start, cuts in zip(offs[:-1].tolist(), cut_points(raw, offs), strict=True):
@@ -108,7 +113,9 @@ def _telling(source: DataFrame, size: int) -> int:
         chunks = source.select("text").mapInArrow(_chunks(size), "digest binary, chunk binary")
         # min and max keep one value per digest and task before anything is shuffled
         clashes = chunks.groupBy("digest").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high")
-        if clashes.isEmpty():
+        with small_batches(source.sparkSession):
+            told = clashes.isEmpty()
+        if told:
             return size
         if size >= 64:
             raise RuntimeError("two chunks share a digest of 64 bytes")
@@ -121,7 +128,8 @@ def exact_groups(docs: DataFrame, text: Column | str = "text", doc_id: str = "do
     source = docs.select(F.col(doc_id).alias("row_id"), F.coalesce(text, F.lit("")).alias("text"))
     kind = source.schema["row_id"].dataType.simpleString()
     size = _telling(source, digest_bytes)
-    recipes = saved(source.mapInArrow(_recipes(size), f"doc_id {kind}, recipe binary, text_sha256 string"))
+    with small_batches(source.sparkSession):
+        recipes = saved(source.mapInArrow(_recipes(size), f"doc_id {kind}, recipe binary, text_sha256 string"))
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     # rows of a few dozen bytes meet their group in a join that adaptive execution can split
     out = recipes.join(groups, "recipe")
@@ -133,8 +141,11 @@ def one_of_each(docs: DataFrame, keep: list[str], text: str = "text", doc_id: st
     rows the one that is largest in the other columns."""
     source = docs.select(F.col(doc_id).alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
     made = T.StructType([T.StructField("doc_id", source.schema["row_id"].dataType), T.StructField("recipe", T.BinaryType()), T.StructField("text_sha256", T.StringType()), source.schema["row"]])
+    size, within = _telling(source, digest_bytes), text if text in keep else None
+    cut = (source.drop("text") if within else source).mapInArrow(_recipes(size, ("row",), within), made)
     # the key is written with the rows, so it stays the same however often they are read
-    rows = saved(source.mapInArrow(_recipes(_telling(source, digest_bytes), ("row",)), made).select("doc_id", "recipe", "row", F.monotonically_increasing_id().alias("row_key")))
+    with small_batches(source.sparkSession):
+        rows = saved(cut.select("doc_id", "recipe", "row", F.monotonically_increasing_id().alias("row_key")))
     place = F.struct("doc_id", *[F.col(f"row.`{c}`").alias(f"c{i}") for i, c in enumerate(keep) if c not in (text, doc_id)], "row_key")
     last = rows.groupBy("recipe").agg(F.max(place).alias("last")).select("last.row_key")
     return rows.join(last, "row_key", "left_semi").select("row.*")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvagrid.llm.common import slices, table
+from silvagrid.llm.common import slices, small_batches, table
 
 WINDOW, SAMPLE_CHARS, TABLE_BYTES = 512, 32_000, 256 << 20
 _LOWER: list[np.ndarray] = []
@@ -205,7 +205,8 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, table_bytes: int
     if not langs:
         return Model({})
     each = max(1000, min(sample_chars, table_bytes // (len(langs) * 4 * 64 * 2)))
-    return Model(_sampled(rows, langs, each, max(200, each // 40)))
+    with small_batches(rows.sparkSession):
+        return Model(_sampled(rows, langs, each, max(200, each // 40)))
 
 
 def _letters(batches):
@@ -268,15 +269,17 @@ def identify(docs: DataFrame, model: Model, text: Column | str = "text", keep: l
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
+    within = text if isinstance(text, str) and text in keep else None  # a text that is kept comes once, in its row
     text = F.col(text) if isinstance(text, str) else text
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text.alias("text"))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *([] if within else [text.alias("text")]))
 
     def run(batches):
         m = shipped.value
         for batch in batches:
-            for a, b in slices(batch.column("text"), 2 << 20):
+            texts = batch.column("row").field(within) if within else batch.column("text")
+            for a, b in slices(texts, 1 << 20):
                 part = batch.slice(a, b - a)
-                got = m.predict([t or "" for t in part.column("text").to_pylist()])
+                got = m.predict([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["row", "lang_pred", "score"])
 
     from pyspark.sql import types as T
